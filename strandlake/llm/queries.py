@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from strandlake.llm.byte_bpe import op4_byte_bpe
 from strandlake.llm.quality_rules import op9_quality_rules
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op9_quality_rules)}
 ORACLE: dict[str, str] = {}
