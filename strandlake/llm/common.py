@@ -114,11 +114,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(texts: pa.Array, lower: bool) -> Words:
-    """Words are runs of bytes other than space and \\x09-\\x0D; lower: A-Z are lower-cased first. Equal words have equal hashes."""
+def words_of(texts: pa.Array, lower: bool, codes: np.ndarray | None = None) -> Words:
+    """Words are runs of bytes other than space and \\x09-\\x0D; lower: A-Z are lower-cased first. Equal words have equal hashes.
+    codes: 256 bytes that stand for the bytes of the texts."""
     raw, offsets = text_buffer(texts)
-    if lower:
-        raw = LOWER[raw]
+    if lower or codes is not None:
+        raw = (LOWER if codes is None else codes)[raw]
     n = len(raw)
     space = IS_SPACE[raw]
     begins, ends = np.empty(n + 1, dtype=bool), np.empty(n + 1, dtype=bool)
