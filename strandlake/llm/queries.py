@@ -7,6 +7,7 @@ from strandlake.llm.language_id import op6_language_id
 from strandlake.llm.near_dedup import op3_minhash_near_dedup
 from strandlake.llm.ordinal_quality import op5_ordinal_quality
 from strandlake.llm.quality_rules import op9_quality_rules
+from strandlake.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
