@@ -16,6 +16,7 @@ import heapq
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import pieces, table
 
-#: Encoded pieces that a worker keeps at most.
+#: Encoded pieces that a worker keeps at most in each of two generations: those used since the last change, and those before.
 KEPT_PIECES = 500_000
 #: Pieces of more bytes are contracted with a heap: one round a merge would take quadratic time in the recursive query.
 LONG_PIECE = 400
@@ -32,23 +33,24 @@ AT_ONCE = 40_000
 
 ENCODE = """
 WITH RECURSIVE state AS (
-    SELECT k, t, 0 AS round FROM start
+    SELECT k, t, true AS open FROM start
     UNION ALL
-    SELECT k, CASE WHEN (k & 65535) = (best & 65535) THEN best >> 16 ELSE t END AS t, round + 1 AS round
+    SELECT k, CASE WHEN (k & 65535) = (best & 65535) THEN best >> 16 ELSE t END AS t, best IS NOT NULL AS open
     FROM (
-        SELECT k, t, round, min(score) OVER (PARTITION BY k >> 16) AS best, lag(k) OVER (ORDER BY k) AS before
+        SELECT k, t, min(score) OVER (PARTITION BY k >> 16) AS best, lag(k) OVER (ORDER BY k) AS before
         FROM (
-            SELECT k, t, round, (m.rank << 16) | (k & 65535) AS score
+            SELECT k, t, (m.rank << 16) | (k & 65535) AS score
             FROM (
-                SELECT k, t, round, CASE WHEN (lead(k) OVER (ORDER BY k)) >> 16 = k >> 16 THEN (t << 20) | lead(t) OVER (ORDER BY k) END AS pair
-                FROM state
+                SELECT k, t, CASE WHEN (lead(k) OVER (ORDER BY k)) >> 16 = k >> 16 THEN (t << 20) | lead(t) OVER (ORDER BY k) END AS pair
+                FROM state WHERE open
             ) LEFT JOIN merges m USING (pair)
         )
     )
-    WHERE best IS NOT NULL AND NOT coalesce(before >> 16 = k >> 16 AND (before & 65535) = (best & 65535), false)
-), last AS (SELECT k >> 16 AS w, max(round) AS round FROM state GROUP BY ALL)
-SELECT w, string_agg(t, ',' ORDER BY k) AS ids, string_agg(v.bytes, '' ORDER BY k) AS bytes
-FROM state JOIN last ON w = k >> 16 AND state.round = last.round JOIN vocabulary v ON v.rank = t
+    WHERE best IS NULL OR NOT coalesce(before >> 16 = k >> 16 AND (before & 65535) = (best & 65535), false)
+)
+SELECT k >> 16 AS w, string_agg(t, ',' ORDER BY k) AS ids, string_agg(v.bytes, '' ORDER BY k) AS bytes
+FROM state JOIN vocabulary v ON v.rank = t
+WHERE NOT open
 GROUP BY w
 """
 
@@ -72,8 +74,9 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.split = read_ranks(path), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
-        self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         ranks = self.ranks
         pairs = [((ranks[a] << 20) | ranks[b], r) for x, r in ranks.items() for i in range(1, len(x)) if (a := x[:i]) in ranks and (b := x[i:]) in ranks]
@@ -105,10 +108,13 @@ class Coder:
                 rest.append((x, b))
         for at in range(0, len(rest), AT_ONCE):
             part = rest[at : at + AT_ONCE]
-            k = [(w << 16) | p for w, (_, b) in enumerate(part) for p in range(len(b))]
-            t = [self.of_byte[c] for _, b in part for c in b]
-            self.load("start", pa.table({"k": pa.array(k, pa.int64()), "t": pa.array(t, pa.int64())}))
-            for w, ids, decoded in self.db.execute(ENCODE).fetchall():
+            size = np.array([len(b) for _, b in part])
+            first = np.cumsum(size) - size
+            k = (np.repeat(np.arange(len(part)), size) << 16) | (np.arange(size.sum()) - np.repeat(first, size))
+            t = self.of_byte[np.frombuffer(b"".join(b for _, b in part), dtype=np.uint8)]
+            self.load("start", pa.table({"k": k, "t": t}))
+            found = self.db.sql(ENCODE).to_arrow_table()
+            for w, ids, decoded in zip(*(found.column(c).to_pylist() for c in ("w", "ids", "bytes"))):
                 self.keep(*part[w], ids.encode(), bytes.fromhex(decoded))
 
     def token(self, rank: int) -> bytes:
@@ -142,9 +148,11 @@ class Coder:
         cut = [self.split(x) if x else [] for x in texts]
         distinct = set().union(*cut)
         if len(self.known) + len(distinct) > KEPT_PIECES:
-            self.known = {x: self.known[x] for x in distinct if x in self.known}
-            self.decoded = {x: self.decoded[x] for x in distinct if x in self.decoded}
-        self.learn([x for x in distinct if x not in self.known])
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [x for x in distinct if x not in known]
+        known.update((x, older[x]) for x in missing if x in older)
+        self.learn([x for x in missing if x not in older])
         ids_of, odd = self.known.__getitem__, self.decoded
         for x in cut:
             yield b",".join(map(ids_of, x)), b"".join(odd.get(p) or p.encode() for p in x) if odd else "".join(x).encode()
