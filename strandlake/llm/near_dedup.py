@@ -6,9 +6,9 @@ all keys that leave one symbol out, and every pair within the radius meets under
 above the expected distance at the threshold: a pair of similarity 0.85 lies beyond it with probability below 1e-4.
 
 Links are confirmed on the full shingle sets. Rows of equal sets are one class with one member in the index. In a
-key's bucket the members are first compared with the bucket's least member alone (a star). Only buckets whose members are
-then in several components are joined with themselves, between components, so a group of copies is never expanded into
-all pairs, and no link between components is missed.
+key's bucket the members are first compared with the bucket's least member alone, its hub (a star). Then, for hubs whose
+spokes are in several components, the spokes outside the hub's component are compared with all of the hub's spokes in
+blocks of bounded size. A group of copies is never expanded into rows of pairs, and no link between components is missed.
 
 Null and empty texts, and texts without words, have empty sets, are linked with nothing and kept. Equal ids aren't expected: doc_id
 is the row's identity. Other columns of the input are passed by.
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def index_rows(classes: DataFrame) -> DataFrame:
-    """(key, place, rep): a row for each chunk and each left-out symbol; place = chunk * PER_CHUNK + that symbol."""
+    """(key, rep): a row for each chunk and each left-out symbol."""
     keep = np.array([0xFFFFFFFFFFFFFF ^ (0xFF << (8 * j)) for j in range(PER_CHUNK)], dtype=np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +79,9 @@ def index_rows(classes: DataFrame) -> DataFrame:
                 chunks = part.column("chunks").flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS)
                 masked = (chunks[:, :, None] & keep[None, None, :]).reshape(len(chunks), SYMBOLS)
                 key = mix(mix(masked) + places[None, :] * U64(0x9E3779B97F4A7C15)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int16), len(chunks))), pa.array(np.repeat(part.column("rep").to_numpy(), SYMBOLS))], names=["key", "place", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), SYMBOLS))], names=["key", "rep"])
 
-    return classes.select("rep", "chunks").mapInArrow(spread, "key bigint, place smallint, rep bigint")
+    return classes.select("rep", "chunks").mapInArrow(spread, "key bigint, rep bigint")
 
 
 def _differing() -> Column:
@@ -102,45 +102,124 @@ def within_radius() -> Column:
     return sizes & (F.aggregate(_differing(), F.lit(0), lambda total, d: total + F.bit_count(d)) <= RADIUS)
 
 
-def first_common_place(place: Column) -> Column:
-    """place is the first under which both sides have a common key: each pair then leaves a bucket join once."""
-    chunk = F.array_position(F.transform(_differing(), lambda d: F.bit_count(d) <= 1), True)
-    d = F.get(_differing(), (chunk - 1).cast("int"))
-    symbol = F.when(d == 0, 0).otherwise(F.shiftright(F.bit_count(d - 1), 3))
-    return place == (chunk - 1) * PER_CHUNK + symbol
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([press.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], names=["id", "body"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose full shingle sets are similar enough. Texts travel compressed and each set is made anew."""
+def _sets(bodies: list[bytes]) -> list[np.ndarray]:
+    press = zstandard.ZstdDecompressor()
+    return shingle_sets(words_of(pa.array([press.decompress(b) for b in bodies], pa.large_binary()), lower=True), SHINGLE)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([press.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], names=["id", "body"])
 
-    def sets(bodies: list[bytes]) -> list[np.ndarray]:
-        press = zstandard.ZstdDecompressor()
-        texts = pa.array([press.decompress(b) for b in bodies], pa.large_binary())
-        return shingle_sets(words_of(texts, lower=True), SHINGLE)
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            u, v = part.column("u").to_pylist(), part.column("v").to_pylist()
+            bodies = dict(zip(v, part.column("v_body").to_pylist())) | dict(zip(u, part.column("u_body").to_pylist()))
+            of = dict(zip(bodies, _sets(list(bodies.values()))))
+            good = []
+            for a, b in zip(u, v):
+                x, y = of[a], of[b]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                u, v = part.column("u").to_pylist(), part.column("v").to_pylist()
-                bodies = dict(zip(v, part.column("v_body").to_pylist())) | dict(zip(u, part.column("u_body").to_pylist()))
-                of = dict(zip(bodies, sets(list(bodies.values()))))
-                good = []
-                for a, b in zip(u, v):
-                    x, y = of[a], of[b]
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    bodies = docs.select("doc_id", "text").mapInArrow(packed, "id bigint, body binary")
+
+def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose full shingle sets are similar enough. Texts travel compressed and each set is made anew."""
     full = pairs.join(bodies.select(F.col("id").alias("u"), F.col("body").alias("u_body")), "u").join(bodies.select(F.col("id").alias("v"), F.col("body").alias("v_body")), "v")
-    return full.select("u", "v", "u_body", "v_body").mapInArrow(confirm, "u bigint, v bigint")
+    return full.select("u", "v", "u_body", "v_body").mapInArrow(_confirm, "u bigint, v bigint")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left and each right set, by products of 0/1 matrices over shared shingles."""
+    sets = [*left, *right]
+    element = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(element, kind="stable")
+    element, row = element[order], row[order]
+    new = np.concatenate([[True], element[1:] != element[:-1]])
+    which = np.cumsum(new) - 1
+    shared = np.bincount(which)[which] > 1
+    _, which = np.unique(which[shared], return_inverse=True)
+    row, total = row[shared], np.zeros((len(left), len(right)), dtype=np.float32)
+    width = 2048
+    for at in range(0, int(which.max()) + 1 if len(which) else 0, width):
+        a, b = np.searchsorted(which, [at, at + width])
+        block = np.zeros((len(sets), width), dtype=np.float32)
+        block[row[a:b], which[a:b] - at] = 1
+        total += block[: len(left)] @ block[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub, i, j -> links between components, as few as join all that are linked in a block."""
+
+    def blocks() -> Iterator[list[tuple]]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "stray", "id", "root", "body"))):
+                if row[:3] != now:
+                    if held:
+                        yield held
+                    now, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield held
+
+    for rows in blocks():
+        left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not left or len({r[2] for r in rows}) < 2:
+            continue
+        bodies = {r[1]: r[3] for r in rows}
+        of = dict(zip(bodies, _sets(list(bodies.values()))))
+        x, y = [of[r[1]] for r in left], [of[r[1]] for r in right]
+        common = common_counts(x, y)
+        sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        link = 100 * common >= PERCENT * (sizes - common)
+        link &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
+        parent: dict[int, int] = {}
+
+        def find(a: int) -> int:
+            while (b := parent.get(a, a)) != a:
+                a = b
+            return a
+
+        out = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(link))):
+            a, b = find(left[i][2]), find(right[j][2])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((left[i][1], right[j][1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+
+#: A block holds about so many documents and shingles of either side at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
+
+
+def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links that the stars missed. Two members of a bucket are both spokes of its hub; so, for each hub whose spokes are in several
+    components, those outside the hub's component are compared with all, in blocks of bounded size. Few rows leave a block."""
+    known = roots.select(F.col("node").alias("id"), F.col("root").alias("_r"))
+    s = spokes.select(F.col("u").alias("id"), F.col("v").alias("hub"))
+    s = s.join(known, "id", "left").withColumn("root", F.coalesce("_r", "id")).drop("_r")
+    s = s.join(known.select(F.col("id").alias("hub"), F.col("_r").alias("_h")), "hub", "left").withColumn("outside", F.col("root") != F.coalesce("_h", "hub")).drop("_h")
+    s = s.join(sizes, "id")
+    per = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    outside = F.when(F.col("outside"), F.col("n"))
+    hubs = s.groupBy("hub").agg(per(F.count(outside), F.sum(outside)).alias("ni"), per(F.count("n"), F.sum("n")).alias("nj"), F.count(outside).alias("strays"), F.count("n").alias("all"))
+    # One member alone has nobody but the hub, with which it was compared.
+    s = s.join(hubs.where("strays > 0 and all > 1"), "hub").join(bodies, "id")
+    at = F.xxhash64("id")
+    left = s.where("outside").select("hub", F.pmod(at, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("stray"), "id", "root", "body")
+    right = s.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("stray"), "id", "root", "body")
+    return left.union(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_compare_blocks, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -148,34 +227,23 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     sketch = stored(sketches(docs), spark)
     same = ["n", "set_a", "set_b"]
     classes = stored(sketch.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("chunks").alias("chunks")), spark)
+    # Every member of a bucket but the least, with that least member, its hub.
     by_key = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Rows of buckets with two members or more: every member but the least, which is their hub.
-    buckets = stored(index_rows(classes).withColumn("hub", F.first("rep").over(by_key)).where("hub <> rep"), spark)
+    spokes = index_rows(classes).select(F.col("rep").alias("u"), F.first("rep").over(by_key).alias("v")).where("u <> v").distinct()
+    spokes = stored(spokes, spark)
 
     signed = classes.select("rep", "n", "chunks")
-    spokes = buckets.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    bodies = docs.select("doc_id", "text").mapInArrow(_packed, "id bigint, body binary")
     near = spokes.join(signed.alias("a"), F.col("u") == F.col("a.rep")).join(signed.alias("b"), F.col("v") == F.col("b.rep")).where(within_radius()).select("u", "v")
-    links = stored(confirmed(near, docs), spark)
+    links = stored(confirmed(near, bodies), spark)
     roots = components(links, spark)
-
-    # Buckets that hold members of several components: their pairs between components, each under its first common place.
-    def rooted(df: DataFrame, name: str, out: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(out, F.coalesce("_r", name)).drop("_r")
-
-    split = rooted(rooted(spokes, "u", "ru"), "v", "rv").where("ru <> rv").select(F.col("u").alias("rep"), F.col("v").alias("hub"))
-    mixed = buckets.join(split, ["rep", "hub"], "left_semi").select("key").distinct()
-    there = buckets.join(mixed, "key", "left_semi")
-    members = there.select("key", "place", "rep").union(there.select("key", "place", F.col("hub").alias("rep")).distinct())
-    members = stored(rooted(members, "rep", "root").join(signed, "rep"), spark)
-    pairs = members.alias("a").join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & within_radius() & first_common_place(F.col("a.place").cast("int")))
-    pairs = pairs.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).join(spokes, ["u", "v"], "left_anti")
-    more = stored(confirmed(pairs, docs), spark)
+    more = stored(between_components(spokes, roots, classes.select(F.col("rep").alias("id"), "n"), bodies), spark)
     if not more.isEmpty():
         roots = components(links.union(more), spark)
 
-    member_of = rooted(sketch.where("n > 0").select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "n", "rep"), "rep", "component_id")
+    member_of = sketch.where("n > 0").select("doc_id", *same).join(classes.select(*same, "rep"), same).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
     alone = sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return member_of.select("doc_id", "n", "component_id").union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return member_of.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
