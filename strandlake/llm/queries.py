@@ -7,9 +7,10 @@ from strandlake.llm.html_extract import op8_html_extract
 from strandlake.llm.language_id import op6_language_id
 from strandlake.llm.near_dedup import op3_minhash_near_dedup
 from strandlake.llm.ordinal_quality import op5_ordinal_quality
+from strandlake.llm.pii_surrogates import op1_pii_surrogates
 from strandlake.llm.quality_rules import op9_quality_rules
 from strandlake.llm.suffix_dedup import op7_suffix_dedup
 from strandlake.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op7_suffix_dedup, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op7_suffix_dedup, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
