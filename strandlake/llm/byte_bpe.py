@@ -159,8 +159,8 @@ class Coder:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's text; with_ids adds the ids and the decoded text."""
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's text; with_ids adds the ids."""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path, pattern)
@@ -168,10 +168,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             for part in pieces(batch, "text"):
                 rows = []
                 for ids, decoded in coder.documents(part.column("text").to_pylist()):
-                    rows.append((ids.count(b",") + (ids != b""), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([[int(i) for i in ids.split(b",") if i], decoded.decode()] if with_ids else [])))
-                columns = [pa.array(x) for x in zip(*rows)]
-                if with_ids:
-                    columns[3] = pa.array([r[3] for r in rows], pa.list_(pa.int32()))
+                    rows.append((ids.count(b",") + (ids != b""), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([np.fromstring(ids.decode(), dtype=np.int32, sep=",") if ids else []] if with_ids else [])))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(encode, schema)

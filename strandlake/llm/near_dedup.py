@@ -10,8 +10,8 @@ key's bucket the members are first compared with the bucket's least member alone
 spokes are in several components, the spokes outside the hub's component are compared with all of the hub's spokes in
 blocks of bounded size. A group of copies is never expanded into rows of pairs, and no link between components is missed.
 
-Null and empty texts, and texts without words, have empty sets, are linked with nothing and kept. Equal ids aren't expected: doc_id
-is the row's identity. Other columns of the input are passed by.
+Null and empty texts, and texts without words, have empty sets, are linked with nothing and kept. A row without an id is linked with
+nothing. Rows that share an id are kept or dropped together. Other columns of the input are passed by.
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id) of each document."""
     sketch = stored(sketches(docs), spark)
     same = ["n", "set_a", "set_b"]
-    classes = stored(sketch.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("chunks").alias("chunks")), spark)
+    classes = stored(sketch.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("chunks").alias("chunks")), spark)
     # Every member of a bucket but the least, with that least member, its hub.
     by_key = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spokes = index_rows(classes).select(F.col("rep").alias("u"), F.first("rep").over(by_key).alias("v")).where("u <> v").distinct()
@@ -241,9 +241,15 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     if not more.isEmpty():
         roots = components(links.union(more), spark)
 
-    member_of = sketch.where("n > 0").select("doc_id", *same).join(classes.select(*same, "rep"), same).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
-    alone = sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return member_of.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    member_of = sketch.where("n > 0 and doc_id is not null").select("doc_id", *same).join(classes.select(*same, "rep"), same).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
+    alone = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return member_of.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """The kept rows of docs, with all their columns."""
+    gone = near_duplicates(docs, spark).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,17 +221,17 @@ def with_surrogates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     joined = parts.join(chosen, ["part", "canon"])
     # A document's own mentions are gathered: as many as its text holds.
     # A name's part that stands alone elsewhere in the document follows its mention.
-    alone = F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.struct(F.initcap("canon").alias("old"), F.initcap("surrogate").alias("new"))))).alias("_alone")
+    alone = F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.struct(F.initcap("canon").alias("old"), F.initcap("surrogate").alias("new"))))).alias("_pii_alone")
     alone = joined.where("kind = 'name'").groupBy("doc_id").agg(alone)
     whole = joined.groupBy("doc_id", "at", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "surrogate"))), lambda x: x["surrogate"]).alias("sides"))
     whole = whole.select("doc_id", "at", rendered(F.col("kind"), F.col("mention"), F.col("sides")).alias("new"))
-    new = whole.join(alone.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").groupBy("doc_id").agg(F.first("_alone").alias("_alone"), F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_new")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(new, docs["doc_id"].eqNullSafe(new["_id"]), "left")
+    new = whole.join(alone.withColumnRenamed("doc_id", "_pii_d"), F.col("doc_id").eqNullSafe(F.col("_pii_d")), "left").groupBy("doc_id").agg(F.first("_pii_alone").alias("_pii_alone"), F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_pii_new")).withColumnRenamed("doc_id", "_pii_id")
+    both = docs.join(new, docs["doc_id"].eqNullSafe(new["_pii_id"]), "left")
     pieces = F.split("text", ENTITY, -1)
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), ""))
+    text = F.when(F.col("_pii_new").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_pii_new"), i), F.lit("")))), ""))
     follow = lambda t, x, form: F.regexp_replace(t, F.concat(F.lit(_EDGE), form(x["old"]), F.lit(_END)), form(x["new"]))
-    text = F.when(F.col("_alone").isNull(), text).otherwise(F.aggregate("_alone", text, lambda t, x: follow(follow(t, x, lambda n: n), x, F.upper)))
-    count = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("bigint")
+    text = F.when(F.col("_pii_alone").isNull(), text).otherwise(F.aggregate("_pii_alone", text, lambda t, x: follow(follow(t, x, lambda n: n), x, F.upper)))
+    count = F.when(F.col("_pii_new").isNull(), 0).otherwise(F.size("_pii_new")).cast("bigint")
     return both.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), count.alias("n_entities"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlake.llm.byte_bpe import op4_byte_bpe
+from strandlake.llm.decontaminate import op2_simhash_decontamination
 from strandlake.llm.html_extract import op8_html_extract
 from strandlake.llm.language_id import op6_language_id
 from strandlake.llm.near_dedup import op3_minhash_near_dedup
@@ -12,5 +13,5 @@ from strandlake.llm.quality_rules import op9_quality_rules
 from strandlake.llm.suffix_dedup import op7_suffix_dedup
 from strandlake.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op7_suffix_dedup, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_minhash_near_dedup, op4_byte_bpe, op5_ordinal_quality, op6_language_id, op7_suffix_dedup, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
