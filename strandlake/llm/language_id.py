@@ -98,7 +98,7 @@ class Model:
     languages: list[str]
     sizes: np.ndarray
     code: np.ndarray
-    #: Entry state * width + symbol: the next state times 2, plus 1 if a phrase ends before the symbol.
+    #: Entry state * width + symbol: the next state times 4, plus the phrases that end: one before the symbol, one with it if no sample has it.
     moves: np.ndarray
     starts: np.ndarray
     width: int
@@ -122,10 +122,11 @@ class Model:
         for i in range(int(size[0])):
             m = int(open_at[i])
             move = self.moves[state[:, :m] * self.width + coded[start[:m] + i]]
-            ended[:, :m] += move & 1
-            state[:, :m] = move >> 1
+            ended[:, :m] += move & 3
+            state[:, :m] = move >> 2
+        ended += state != self.starts[:, None]  # a phrase still open
         for k in range(len(self.languages)):
-            count[:, k] = np.bincount(row, ended[k], len(n)) + (n > 0)
+            count[:, k] = np.bincount(row, ended[k], len(n))
         return count, n
 
 
@@ -146,7 +147,9 @@ def build(samples: dict[str, np.ndarray]) -> Model:
             if row:
                 moves[s, list(row)] = list(row.values())
         root = np.where(moves[0] >= 0, moves[0], 0)
-        tables.append(np.where(moves >= 0, (moves + at) * 2, (root + at) * 2 + 1).astype(np.int32))
+        ends = np.where(moves >= 0, 0, np.where(moves[0] >= 0, 1, 2))
+        ends[0] = moves[0] < 0
+        tables.append((np.where(moves >= 0, moves + at, root + at) * 4 + ends).astype(np.int32))
         starts.append(at)
     return Model(languages, np.array([len(samples[x]) for x in languages]), code, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(starts, dtype=np.int64), width)
 
