@@ -11,8 +11,10 @@ Nulls are empty texts: no ids, the hash of nothing. Repeated rows give repeated
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
+import threading
 from collections.abc import Iterator
 
 import duckdb
@@ -29,7 +31,11 @@ KEPT_PIECES = 500_000
 #: Pieces of more bytes are contracted with a heap: one round a merge would take quadratic time in the recursive query.
 LONG_PIECE = 400
 #: New pieces in one recursive query.
-AT_ONCE = 40_000
+AT_ONCE = 25_000
+#: Bytes of text that are encoded at once.
+PIECE = 2 << 20
+#: Seconds after which a worker without a task gives its coder up.
+IDLE_SECONDS = 2.0
 
 ENCODE = """
 WITH RECURSIVE state AS (
@@ -64,20 +70,39 @@ class Coder:
     """Encodes and decodes pieces; one for each worker process and vocabulary."""
 
     _made: dict[tuple[str, str], Coder] = {}
+    _idle: threading.Timer | None = None
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
+        if cls._idle is not None:
+            cls._idle.cancel()
         if (path, pattern) not in cls._made:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    @classmethod
+    def rest(cls) -> None:
+        """After a task: if no other follows soon, the coders go, so that an idle worker doesn't hold memory that other stages need."""
+        if cls._idle is not None:
+            cls._idle.cancel()
+        cls._idle = threading.Timer(IDLE_SECONDS, cls.release)
+        cls._idle.daemon = True
+        cls._idle.start()
+
+    @classmethod
+    def release(cls) -> None:
+        for coder in cls._made.values():
+            coder.db.close()
+        cls._made.clear()
+        gc.collect()
+
     def __init__(self, path: str, pattern: str):
         self.ranks, self.split = read_ranks(path), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         ranks = self.ranks
         pairs = [((ranks[a] << 20) | ranks[b], r) for x, r in ranks.items() for i in range(1, len(x)) if (a := x[:i]) in ranks and (b := x[i:]) in ranks]
         self.load("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())}))
@@ -164,13 +189,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path, pattern)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                rows = []
-                for ids, decoded in coder.documents(part.column("text").to_pylist()):
-                    rows.append((ids.count(b",") + (ids != b""), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([np.fromstring(ids.decode(), dtype=np.int32, sep=",") if ids else []] if with_ids else [])))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], names=[x.split()[0] for x in schema.split(", ")])
+        try:
+            for batch in batches:
+                for part in pieces(batch, "text", PIECE):
+                    yield encode_part(coder, part)
+        finally:
+            Coder.rest()
+
+    def encode_part(coder: Coder, part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for ids, decoded in coder.documents(part.column("text").to_pylist()):
+            rows.append((ids.count(b",") + (ids != b""), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([np.fromstring(ids.decode(), dtype=np.int32, sep=",") if ids else []] if with_ids else [])))
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
+        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(encode, schema)
 

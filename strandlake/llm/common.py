@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A buffer of texts is cut at about this many bytes; one longer text is still handled whole.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 1 << 20
+
+#: Rows in an Arrow batch of texts.
+ARROW_ROWS = 2000
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -72,6 +75,10 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. Arrow batches are kept small (texts are long), unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
