@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = logistic(threshold_k - w . x): hashed-text weights w are shared by all grades and the thresholds are ordered. x has the
-presence of each hashed word and of each hashed bucket of a document statistic. Grades come from the label columns: 0 poor,
+presence of each hashed word, of the first 4, 5 and 6 bytes of each word, and of each hashed bucket of a document statistic. Grades come from the label columns: 0 poor,
 1 good but toxic, 2 good. A score has the expected grade and the tail probability P(grade >= 2), by which documents are kept.
 
 Null and empty texts have no words and are scored by their statistics; repeated rows each get a row; labels that
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import U64, mix, pieces, table, words_of
+from strandlake.llm.common import U64, Words, mix, pieces, table, words_of
 from strandlake.llm.quality_rules import FEATURES, statistics
 
 #: Labelled documents in the fit at most, hashed features, and the tail probability from which a document is kept.
 SAMPLE, WIDTH, KEEP_FROM = 8000, 1 << 18, 0.5
 GRADES = 3
-#: Hashed words in fewer documents of the sample have no weight.
-LEAST_DOCS = 3
+#: Features in fewer documents of the sample, or that deviate less, have no weight.
+LEAST_DOCS, SIGMA = 3, 7.0
+#: Lengths of the heads of words that are features of their own: inflected words share them.
+HEADS = (4, 5, 6)
 
 _WORDS = np.frombuffer(bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256)), dtype=np.uint8)
 #: Edges of the buckets of each statistic.
@@ -46,12 +48,28 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for name, edges in _EDGES.items():
         f = FEATURES.index(name)
         buckets.append(mix((np.digitize(x[:, f], edges) + 100 * f + 7).astype(np.uint64) * U64(0xA24BAED4963EE407)))
-    of_row = np.concatenate([row, np.tile(np.arange(n), len(buckets))])
-    feature = np.concatenate([raw_words.hash, *buckets]) % U64(WIDTH)
+    heads, head_rows = _heads(raw_words, row)
+    of_row = np.concatenate([row, *head_rows, np.tile(np.arange(n), len(buckets))])
+    feature = np.concatenate([raw_words.hash, *heads, *buckets]) % U64(WIDTH)
     key = np.unique((of_row.astype(np.uint64) << U64(32)) | feature)
     return (key & U64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(key >> U64(32), np.arange(n + 1))
 
 
+def _heads(w: Words, row: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the words' first bytes, one array for each length, and the rows of the words that are so long."""
+    if not len(w.start):
+        return [], []
+    value, found, rows = np.zeros(len(w.start), dtype=np.uint64), [], []
+    for k in range(max(HEADS)):
+        byte = w.raw[np.minimum(w.start + k, len(w.raw) - 1)].astype(np.uint64)
+        value |= np.where(w.start + k < w.end, byte, U64(0)) << U64(8 * k)
+        if k + 1 in HEADS:
+            there = w.end - w.start > k
+            found.append(mix(value[there] + U64(((k + 1) * 0xC2B2AE3D27D4EB4F) % (1 << 64))))
+            rows.append(row[there])
+    return found, rows
+
+
 @dataclass
 class Ordinal:
     weights: np.ndarray
@@ -64,15 +82,28 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
-def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int = 300, rate: float = 0.15, ridge: float = 2e-4) -> Ordinal:
+def telling(feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """The features whose documents' grades deviate from the sample's by SIGMA standard errors at some level. Long texts hold
+    thousands of words that say nothing, and without their weights a few that do can decide."""
+    n = np.bincount(feature, minlength=WIDTH)
+    keep = np.zeros(WIDTH, dtype=bool)
+    for level in range(GRADES - 1):
+        above = (grade > level).astype(float)
+        p = above.mean()
+        z = (np.bincount(feature, above[row], WIDTH) - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
+        keep |= np.abs(z) >= SIGMA
+    return keep & (n >= LEAST_DOCS)
+
+
+def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.15, ridge: float = 3e-4) -> Ordinal:
     """Full-batch Adam on the mean negative log-likelihood; the gaps between thresholds are exponentials and so stay positive."""
     w = np.zeros(WIDTH)
     cuts = np.array([-1.0, *np.zeros(GRADES - 2)])  # the first threshold, then logs of gaps
     if not len(grade):
         return Ordinal(w, np.array([-2.0, -1.0]))
-    docs = np.bincount(feature, minlength=WIDTH)
-    ok = docs[feature] >= LEAST_DOCS
-    row = np.repeat(np.arange(len(grade)), np.diff(first))[ok]
+    row = np.repeat(np.arange(len(grade)), np.diff(first))
+    ok = telling(feature, row, grade)[feature]
+    row = row[ok]
     used, col = np.unique(feature[ok], return_inverse=True)
     v = np.zeros(len(used))
     state = [np.zeros(len(used) + len(cuts)) for _ in range(2)]
