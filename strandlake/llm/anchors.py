@@ -64,6 +64,13 @@ def no_null_id(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
 
 
+def with_hot(edges: DataFrame, most: int) -> DataFrame:
+    """edges with a column hot: its fp has more than so many rows. There are few hot values, at most one for each `most` rows;
+    Spark broadcasts them if they are small, and else splits the large side."""
+    many = edges.groupBy("fp").count().where(F.col("count") > most).select("fp", F.lit(True).alias("hot"))
+    return edges.join(many, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
 def null_id_again(id: Column) -> Column:
     return F.when(id != NULL_ID, id)
 

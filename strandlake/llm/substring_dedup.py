@@ -7,7 +7,8 @@ through the suffix automaton of those before it, whose matching statistics show
 
 The reference holds the corpus' repeated passages and grows with it, so its automata are not broadcast: the shuffle by
 anchor deals the reference out in shards, and documents' passages meet the automaton of their shard there. An anchor with more
-than SHARD_WORDS words of contexts is worked on by sorted window hashes, in place of an automaton beyond memory.
+than SHARD_CONTEXTS contexts (the edge of a passage that very many documents share) is beyond one task: its windows are dealt
+one by one by their hashes instead, after each task has kept the earliest of those that are equal.
 
 Null and empty texts have no words. A null id is the smallest id. Rows that share id and text count as one text; other columns
 are passed by.
@@ -28,10 +29,12 @@ from strandlake.llm.common import STEP, STEP_INVERSE, U64, mix, pieces, powers,
 
 WINDOW, GRAM = 20, 5
 LEFT = WINDOW - GRAM
-#: Words in an automaton at most.
-SHARD_WORDS = 200_000
+#: Contexts of an anchor in one automaton at most.
+SHARD_CONTEXTS = 1000
 
 WHOLE, BOUNDARY = 1, 2
+#: Rows that meet: a context; the hash of one window of an anchor with too many contexts; a window that is known to have occurred earlier.
+CONTEXT, SINGLE, KNOWN = 0, 1, 2
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +82,38 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their boundary anchors -> (fp, doc_id, start, body): each context's words."""
+    """Texts with their boundary anchors -> (fp, doc_id, start, kind, body): each context's words, or its windows one by one."""
+    names = ["fp", "doc_id", "start", "kind", "body"]
     for batch in batches:
         for begin in range(0, batch.num_rows, 500):
             part = batch.slice(begin, 500)
             w = words_of(anchors.unpack(part.column("body")), lower=False)
+            ids = part.column("doc_id").to_numpy()
             lists = part.column("at")
             size = np.asarray(lists.value_lengths())
             at = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), size)
-            pos, fp = at.field("pos").to_numpy().astype(np.int64), at.field("fp")
+            pos, fp, hot = at.field("pos").to_numpy().astype(np.int64), at.field("fp").to_numpy(), at.field("hot").to_numpy(zero_copy_only=False)
             first, last = w.first[:-1][row], w.first[1:][row]
             # An id may be shared by other texts; places beyond this text are theirs.
             ok = pos + first < last
-            pos, first, last, row = pos[ok], first[ok], last[ok], row[ok]
+            pos, fp, hot, first, last, row = (x[ok] for x in (pos, fp, hot, first, last, row))
             low, high = np.maximum(first + pos - LEFT, first), np.minimum(first + pos + WINDOW, last)
             raw = w.raw.tobytes()
-            body = [raw[a:b] for a, b in zip(w.start[low].tolist(), w.end[high - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([fp.filter(pa.array(ok)), pa.array(part.column("doc_id").to_numpy()[row]), pa.array((low - first).astype(np.int32)), pa.array(body, pa.binary())], names=["fp", "doc_id", "start", "body"])
+            cold = ~hot
+            body = [raw[x:y] for x, y in zip(w.start[low[cold]].tolist(), w.end[high[cold] - 1].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[cold]), pa.array(ids[row[cold]]), pa.array((low - first)[cold].astype(np.int32)), pa.array(np.full(len(body), CONTEXT, np.int8)), pa.array(body, pa.binary())], names=names)
+            if hot.any():
+                runs = windows_hash(w.hash, WINDOW)
+                count = np.maximum(high - WINDOW - low + 1, 0)[hot]
+                place = np.unique(np.repeat(low[hot] - np.cumsum(count) + count, count) + np.arange(count.sum()))
+                word_row = w.row()
+                doc, start, h = ids[word_row[place]], place - w.first[:-1][word_row[place]], runs[place]
+                order = np.lexsort((start, doc, h))
+                doc, start, h = doc[order], start[order], h[order]
+                earliest = np.concatenate([[True], h[1:] != h[:-1]]) | _same_place(doc, start)
+                key = np.where(earliest, h.view(np.int64), anchors.spread_key(doc, start))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(np.where(earliest, SINGLE, KNOWN).astype(np.int8)), pa.nulls(len(key), pa.binary())], names=names)
 
 
 def earlier_windows(segments: list[tuple[int, list[int]]], size: int) -> Iterator[tuple[int, int, int]]:
@@ -163,23 +180,8 @@ def earlier_windows(segments: list[tuple[int, list[int]]], size: int) -> Iterato
             yield name, span_from, span_to
 
 
-def _hashed_windows(doc: np.ndarray, start: np.ndarray, words: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """The same result for a large group, by sorting its windows' hashes; (segment, from, to) for each window."""
-    runs = [windows_hash(x, WINDOW) for x in words]
-    seg = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-    at = np.concatenate([np.arange(len(r)) for r in runs])
-    h, d, s = np.concatenate(runs), doc[seg], start[seg] + at
-    order = np.lexsort((s, d, h))
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = h[order][1:] == h[order][:-1]
-    begins = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-    later = same & ((d[order] != d[order][begins]) | (s[order] != s[order][begins]))
-    for k in order[later].tolist():
-        yield int(seg[k]), int(at[k]), int(at[k]) + WINDOW
-
-
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a partition, sorted by fp, doc_id, start -> (doc_id, low, high): words to remove."""
+    """Contexts and windows of a partition, sorted by kind, fp, doc_id, start -> (doc_id, low, high): words to remove."""
 
     def groups() -> Iterator[pa.Table]:
         rest, size = [], 0
@@ -189,7 +191,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 4 << 20:
                 rows = pa.Table.from_batches(rest)
                 fp = rows.column("fp").to_numpy()
-                cut = int(np.searchsorted(fp, fp[-1]))  # the last group may go on
+                other = np.flatnonzero(fp != fp[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if rows.column("kind")[-1].as_py() != CONTEXT:
+                    cut = rows.num_rows  # windows need no more than their earliest
                 if cut:
                     yield rows.slice(0, cut)
                     rest = rows.slice(cut).to_batches()
@@ -197,33 +202,35 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest:
             yield pa.Table.from_batches(rest)
 
+    before = None  # the earliest of the last group of windows
     for rows in groups():
-        if not rows.num_rows:
-            continue
-        w = words_of(rows.column("body").combine_chunks().cast(pa.large_binary()), lower=False)
-        fp, doc, start = (rows.column(c).to_numpy() for c in ("fp", "doc_id", "start"))
+        kind, fp, doc, start = (rows.column(c).to_numpy() for c in ("kind", "fp", "doc_id", "start"))
         start = start.astype(np.int64)
-        bounds = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1], [True]]))
-        found: list[tuple[int, int, int]] = []
-        word_lists = w.hash.tolist()
-        firsts = w.first.tolist()
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if firsts[b] - firsts[a] > SHARD_WORDS:
-                arrays = [w.hash[firsts[i] : firsts[i + 1]] for i in range(a, b)]
-                spans = _hashed_windows(doc[a:b], start[a:b], arrays)
-                found += [(int(doc[a + s]), int(start[a + s]) + x, int(start[a + s]) + y) for s, x, y in spans]
-                continue
-            # Overlapping contexts of one document are one segment, so that no window is taken for an earlier copy of itself.
-            segments: list[tuple[int, list[int]]] = []
-            base: list[tuple[int, int]] = []
-            for i in range(a, b):
-                words, d, s = word_lists[firsts[i] : firsts[i + 1]], int(doc[i]), int(start[i])
-                if base and base[-1][0] == d and s <= (reach := base[-1][1] + len(segments[-1][1])):
-                    segments[-1][1].extend(words[reach - s :])
-                else:
-                    base.append((d, s))
-                    segments.append((len(segments), words))
-            found += [(base[s][0], base[s][1] + x, base[s][1] + y) for s, x, y in earlier_windows(segments, WINDOW)]
+        found: list[tuple[int, int, int]] = [(d, s, s + WINDOW) for d, s in zip(doc[kind == KNOWN].tolist(), start[kind == KNOWN].tolist())]
+        single = np.flatnonzero(kind == SINGLE)
+        for h, d, s in zip(fp[single].tolist(), doc[single].tolist(), start[single].tolist()):
+            if before is None or before[0] != h:
+                before = (h, d, s)
+            elif before[1:] != (d, s):
+                found.append((d, s, s + WINDOW))
+        there = np.flatnonzero(kind == CONTEXT)
+        if len(there):
+            fp, doc, start = fp[there], doc[there], start[there]
+            w = words_of(rows.column("body").combine_chunks().take(pa.array(there)).cast(pa.large_binary()), lower=False)
+            bounds = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1], [True]]))
+            word_lists, firsts = w.hash.tolist(), w.first.tolist()
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                # Overlapping contexts of one document are one segment, so that no window is taken for an earlier copy of itself.
+                segments: list[tuple[int, list[int]]] = []
+                base: list[tuple[int, int]] = []
+                for i in range(a, b):
+                    words, d, s = word_lists[firsts[i] : firsts[i + 1]], int(doc[i]), int(start[i])
+                    if base and base[-1][0] == d and s <= (reach := base[-1][1] + len(segments[-1][1])):
+                        segments[-1][1].extend(words[reach - s :])
+                    else:
+                        base.append((d, s))
+                        segments.append((len(segments), words))
+                found += [(base[s][0], base[s][1] + x, base[s][1] + y) for s, x, y in earlier_windows(segments, WINDOW)]
         if found:
             d, x, y = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["doc_id", "low", "high"])
@@ -262,9 +269,10 @@ def without_earlier_windows(docs: DataFrame, spark: SparkSession, with_text: boo
     rows = docs.mapInArrow(_anchor_rows, "fp bigint, context bigint, doc_id bigint, pos int, decided boolean")
     hits = stored(rows.repartition("fp").mapInArrow(_decide, "fp bigint, doc_id bigint, pos int, kind tinyint"), spark)
     packed = anchors.bodies(docs)
-    places = hits.where(F.col("kind") == BOUNDARY).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp")).alias("at"))
-    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, start int, body binary")
-    matched = contexts.repartition("fp").sortWithinPartitions("fp", "doc_id", "start").mapInArrow(_match, "doc_id bigint, low int, high int")
+    edges = hits.where(F.col("kind") == BOUNDARY).select("doc_id", "pos", "fp")
+    places = anchors.with_hot(edges, SHARD_CONTEXTS).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp", "hot")).alias("at"))
+    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, start int, kind tinyint, body binary")
+    matched = contexts.repartition("fp").sortWithinPartitions("kind", "fp", "doc_id", "start").mapInArrow(_match, "doc_id bigint, low int, high int")
     whole = hits.where(F.col("kind") == WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high"))
     # As many spans as the document has anchors and windows at most.
     spans = whole.union(matched).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))

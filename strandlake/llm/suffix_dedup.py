@@ -4,7 +4,9 @@ Suffixes are sampled at the anchors of anchors.py, which any repeated 200-byte s
 64 bytes at their head. In each range the index is a logarithmic family: a new batch of suffixes is sorted into a
 suffix array (by head, then by the whole context), merge-scanned against every level for matches, and levels of like size are
 merged. A suffix whose whole context occurs again is covered whole. Suffixes that share a head but not the
-context are compared byte by byte: of their contexts, every 200-byte string around the anchor is looked up among the others.
+context are compared byte by byte: of their contexts, every 200-byte string around the anchor is looked up among the others. A head with
+more than GROUP contexts (the edge of a passage that very many documents share) is beyond one task: its 200-byte strings are
+dealt one by one by their hashes instead, after each task has settled those that are equal.
 
 Bytes are judged on the input. Null and empty texts have none. A null id is the smallest id. Rows that share an id must not differ
 in text; equal rows then count as one text. Other columns are passed by.
@@ -28,10 +30,14 @@ WINDOW, GRAM = 200, 64
 LEFT = WINDOW - GRAM
 #: Suffixes in a batch of the index family, at least (but for the last).
 BATCH = 50_000
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: What a row of suffixes says: a suffix alone; one that has a copy, which other rows have told of already; one whose copies stayed behind.
 ALONE, COVERED, COPIED = 0, 1, 2
+#: Suffixes that share a head and are compared in one task at most.
+GROUP = 1000
+#: Rows that meet: a context; the hash of one window of a head with too many contexts, alone or with copies in its batch; a window with copies.
+CONTEXT, WINDOW_ALONE, WINDOW_COPIED, WINDOW_KNOWN = 0, 1, 2, 3
 #: What is decided: its context is covered whole; its context is to be compared.
 WHOLE, COMPARE = 1, 2
 
@@ -175,22 +181,42 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with anchors to compare -> (fp, doc_id, pos, before, body): the bytes of each context, `before` of them before the anchor."""
+    """Texts with anchors to compare -> (fp, doc_id, pos, before, kind, body): the bytes of each context, `before` of them before the
+    anchor, or each 200-byte string of it by its hash, with its start as pos."""
+    names = ["fp", "doc_id", "pos", "before", "kind", "body"]
     for batch in batches:
         for begin in range(0, batch.num_rows, 200):
             part = batch.slice(begin, 200)
             raw, offsets = text_buffer(anchors.unpack(part.column("body")))
+            ids = part.column("doc_id").to_numpy()
             lists = part.column("at")
             row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
             at = lists.flatten()
-            pos, fp = at.field("pos").to_numpy().astype(np.int64), at.field("fp").to_numpy()
+            pos, fp, hot = at.field("pos").to_numpy().astype(np.int64), at.field("fp").to_numpy(), at.field("hot").to_numpy(zero_copy_only=False)
             ok = pos + offsets[row] < offsets[row + 1]
-            pos, fp, row = pos[ok], fp[ok], row[ok]
+            pos, fp, hot, row = pos[ok], fp[ok], hot[ok], row[ok]
             place = pos + offsets[row]
             low, high = np.maximum(place - LEFT, offsets[row]), np.minimum(place + WINDOW, offsets[row + 1])
-            whole = raw.tobytes()
-            body = [whole[a:b] for a, b in zip(low.tolist(), high.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(part.column("doc_id").to_numpy()[row]), pa.array(pos.astype(np.int32)), pa.array((place - low).astype(np.int32)), pa.array(body, pa.binary())], names=["fp", "doc_id", "pos", "before", "body"])
+            whole, cold = raw.tobytes(), ~hot
+            body = [whole[a:b] for a, b in zip(low[cold].tolist(), high[cold].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[cold]), pa.array(ids[row[cold]]), pa.array(pos[cold].astype(np.int32)), pa.array((place - low)[cold].astype(np.int32)), pa.array(np.full(len(body), CONTEXT, np.int8)), pa.array(body, pa.binary())], names=names)
+            if hot.any():
+                n = len(raw)
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[raw] * powers(STEP, n))])
+                count = np.maximum(high - WINDOW - low + 1, 0)[hot]
+                start = np.unique(np.repeat(low[hot] - np.cumsum(count) + count, count) + np.arange(count.sum()))
+                h = mix((sums[start + WINDOW] - sums[start]) * powers(STEP_INVERSE, n + 1)[start])
+                of = np.searchsorted(offsets, start, side="right") - 1
+                doc, start = ids[of], start - offsets[of]
+                order = np.lexsort((start, doc, h))
+                doc, start, h = doc[order], start[order], h[order]
+                new = np.concatenate([[True], h[1:] != h[:-1]])
+                which = np.cumsum(new) - 1
+                copied = (np.bincount(which, ~_same_place(doc, start) | new) > 1)[which]
+                kind = np.where(new, np.where(copied, WINDOW_COPIED, WINDOW_ALONE), WINDOW_KNOWN)
+                keep = new | copied
+                key = np.where(new, h.view(np.int64), anchors.spread_key(doc, start))
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(start[keep].astype(np.int32)), pa.array(np.zeros(keep.sum(), np.int32)), pa.array(kind[keep].astype(np.int8)), pa.nulls(int(keep.sum()), pa.binary())], names=names)
 
 
 def compare(fp: np.ndarray, before: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,31 +254,60 @@ def compare(fp: np.ndarray, before: np.ndarray, raw: np.ndarray, offsets: np.nda
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a partition, sorted by fp -> (doc_id, low, high): bytes to remove."""
+    """Contexts of a partition, sorted by fp, and windows, which come later -> (doc_id, low, high): bytes to remove."""
 
-    def groups() -> Iterator[pa.Table]:
-        rest, size = [], 0
-        for batch in batches:
-            rest.append(batch)
-            size += batch.nbytes
-            if size > 6 << 20:
-                rows = pa.Table.from_batches(rest)
-                fp = rows.column("fp").to_numpy()
-                cut = int(np.flatnonzero(fp != fp[-1])[-1]) + 1 if (fp != fp[-1]).any() else 0  # the last group may go on
-                if cut:
-                    yield rows.slice(0, cut)
-                    rest = rows.slice(cut).to_batches()
-                    size = sum(b.nbytes for b in rest)
-        if rest:
-            yield pa.Table.from_batches(rest)
-
-    for rows in groups():
-        if rows.num_rows < 2:
-            continue
+    def spans(doc, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["doc_id", "low", "high"])
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
         raw, offsets = text_buffer(rows.column("body").combine_chunks().cast(pa.large_binary()))
         found, most, least = compare(rows.column("fp").to_numpy(), rows.column("before").to_numpy().astype(np.int64), raw, offsets)
         pos = rows.column("pos").to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.column("doc_id").to_numpy()[found]), pa.array((pos - most)[found].astype(np.int32)), pa.array((pos + WINDOW - least)[found].astype(np.int32))], names=["doc_id", "low", "high"])
+        return spans(rows.column("doc_id").to_numpy()[found], (pos - most)[found], (pos + WINDOW - least)[found])
+
+    held, size, last = [], 0, None
+    repeated: list[tuple[int, int]] = []
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        contexts = batch.slice(0, int(np.count_nonzero(kind == CONTEXT)))
+        if contexts.num_rows:
+            held.append(contexts)
+            size += contexts.nbytes
+            if size > 6 << 20:
+                rows = pa.Table.from_batches(held)
+                fp = rows.column("fp").to_numpy()
+                other = np.flatnonzero(fp != fp[-1])
+                if len(other):  # the last group may go on
+                    cut = int(other[-1]) + 1
+                    yield compared(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+                    size = sum(b.nbytes for b in held)
+        if contexts.num_rows < batch.num_rows:
+            rest = batch.slice(contexts.num_rows)
+            kind, h, doc, pos = (rest.column(c).to_numpy() for c in ("kind", "fp", "doc_id", "pos"))
+            known = kind == WINDOW_KNOWN
+            yield spans(doc[known], pos[known], pos[known] + WINDOW)
+            kind, h, doc, pos = (x[~known] for x in (kind, h, doc, pos))
+            # A group of equal windows may start in the batch before: its first window waits for a second one.
+            for x, k, d, p in zip(h.tolist(), kind.tolist(), doc.tolist(), pos.tolist()):
+                if last is not None and last[0] == x:
+                    if (d, p) != last[1]:
+                        if not last[2]:
+                            repeated.append(last[1])
+                        repeated.append((d, p))
+                        last = (x, (d, p), True)
+                else:
+                    last = (x, (d, p), k == WINDOW_COPIED)
+                    if k == WINDOW_COPIED:
+                        repeated.append((d, p))
+            if repeated:
+                d, p = (np.array(c, dtype=np.int64) for c in zip(*repeated))
+                yield spans(d, p, p + WINDOW)
+                repeated.clear()
+    if held:
+        rows = pa.Table.from_batches(held)
+        if rows.num_rows > 1:
+            yield compared(rows)
 
 
 def _apply(with_bytes: bool):
@@ -288,9 +343,11 @@ def without_repeated_strings(docs: DataFrame, spark: SparkSession, with_bytes: b
     rows = docs.mapInArrow(_suffix_rows, "fp bigint, context bigint, doc_id bigint, pos int, kind tinyint")
     hits = stored(rows.repartition("fp").mapInArrow(_decide, "fp bigint, doc_id bigint, pos int, kind tinyint"), spark)
     packed = anchors.bodies(docs)
-    places = hits.where(F.col("kind") == COMPARE).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp")).alias("at"))
-    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, pos int, before int, body binary")
-    compared = contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(_compare, "doc_id bigint, low int, high int")
+    edges = hits.where(F.col("kind") == COMPARE).select("doc_id", "pos", "fp")
+    places = anchors.with_hot(edges, GROUP).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp", "hot")).alias("at"))
+    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, pos int, before int, kind tinyint, body binary")
+    order = F.when(F.col("kind") == CONTEXT, 0).otherwise(1)
+    compared = contexts.repartition("fp").sortWithinPartitions(order, "fp", F.desc("kind")).mapInArrow(_compare, "doc_id bigint, low int, high int")
     whole = hits.where(F.col("kind") == WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high"))
     # As many spans as the document has anchors at most.
     spans = whole.union(compared).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
