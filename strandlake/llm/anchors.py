@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import U64, mix, pieces
+from strandlake.llm.common import U64, mix, pieces, stored
 
 #: Stands for a null id inside the operators.
 NULL_ID = -(1 << 63)
@@ -65,9 +65,9 @@ def no_null_id(df: DataFrame) -> DataFrame:
 
 
 def with_hot(edges: DataFrame, most: int) -> DataFrame:
-    """edges with a column hot: its fp has more than so many rows. There are few hot values, at most one for each `most` rows;
-    Spark broadcasts them if they are small, and else splits the large side."""
-    many = edges.groupBy("fp").count().where(F.col("count") > most).select("fp", F.lit(True).alias("hot"))
+    """edges with a column hot: its fp has more than so many rows. There are few such values, at most one for each `most` rows; they
+    are written first, so that Spark knows their size: it broadcasts them if they are small, and else splits the large side."""
+    many = stored(edges.groupBy("fp").count().where(F.col("count") > most).select("fp", F.lit(True).alias("hot")), edges.sparkSession)
     return edges.join(many, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
