@@ -214,8 +214,9 @@ def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bo
     per = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
     outside = F.when(F.col("outside"), F.col("n"))
     hubs = s.groupBy("hub").agg(per(F.count(outside), F.sum(outside)).alias("ni"), per(F.count("n"), F.sum("n")).alias("nj"), F.count(outside).alias("strays"), F.count("n").alias("all"))
-    # One member alone has nobody but the hub, with which it was compared.
-    s = s.join(hubs.where("strays > 0 and all > 1"), "hub").join(bodies, "id")
+    # One member alone has nobody but the hub, with which it was compared. The hubs are written, so that Spark can split a hub's rows in the join.
+    hubs = stored(hubs.where("strays > 0 and all > 1").select("hub", "ni", "nj"), spokes.sparkSession)
+    s = s.join(hubs, "hub").join(bodies, "id")
     at = F.xxhash64("id")
     left = s.where("outside").select("hub", F.pmod(at, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("stray"), "id", "root", "body")
     right = s.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("stray"), "id", "root", "body")
