@@ -26,8 +26,8 @@ DRAWS = 30
 
 # Common given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Barbara Beatriz Camille Carmen Caroline Charlotte Claire Elisabeth Emily Emma Eva Françoise Gabriela Hannah Ingrid Isabelle Jessica Julia Katharina Laura Linda Lucía Margaret Maria María Mary Monique Olivia Patricia Rebecca Sabine Sarah Sofía Sophie Susan Ursula Valentina Victoria".split(),
-    ("latin", "m"): "Albert Alejandro Andrew Antoine Carlos Charles Christian David Diego Edward Fernando François Frank George Günter Hans Henry Hugo James Javier Jean John Jorge José Jürgen Karl Louis Lucas Luis Mark Matthew Michael Miguel Oliver Pablo Paul Peter Philippe Robert Thomas Walter William".split(),
+    ("latin", "f"): "Alice Amelia Ana Anna Barbara Beatriz Camille Carmen Caroline Charlotte Claire Elisabeth Emily Emma Eva Françoise Gabriela Grace Greta Hannah Heike Helen Ingrid Isabel Isabelle Jennifer Jessica Julia Julie Karen Katharina Laura Léa Lena Linda Lisa Lucía Margaret Maria María Marie Mary Michelle Monika Monique Nancy Nathalie Olivia Patricia Petra Rebecca Rosa Sabine Sara Sarah Sofía Sophie Susan Ursula Valentina Victoria".split(),
+    ("latin", "m"): "Albert Alejandro Alexander Andrew Antoine Carlos Charles Christian Daniel David Diego Edward Fernando François Frank George Günter Hans Henry Hugo James Jan Jason Javier Jean John Jorge José Joseph Juan Jürgen Karl Kevin Klaus Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Oliver Pablo Paul Pedro Peter Philippe Pierre Richard Robert Stefan Stephen Thomas Walter William".split(),
     ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
     ("greek", "f"): "Αικατερίνη Βασιλική Ελένη Ιωάννα Μαρία Σοφία".split(),
@@ -52,7 +52,7 @@ PHONE = (
     r"|\+[2-9]\d{0,2}(?:-\d{2,4}){2,4}|\+[2-9]\d{7,14}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}]|-\d)"
 )
 _NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
-NAME = _EDGE + rf"(?:{_NAMES}|{_NAMES.upper()}) (?:\p{{Lu}}\. )?\p{{Lu}}[\p{{L}}'’-]*\p{{L}}" + _END
+NAME = _EDGE + r"(?=\p{Lu}\p{L}* \p{Lu})" + rf"(?:{_NAMES}|{_NAMES.upper()}) (?:\p{{Lu}}\. )?\p{{Lu}}[\p{{L}}'’-]*\p{{L}}" + _END
 #: Cheap first: every mention but a name has a digit or an @.
 ENTITY = "|".join((EMAIL, SECRET, IBAN, IP, CARD, SSN, PHONE, NAME))
 
