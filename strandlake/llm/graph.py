@@ -9,8 +9,9 @@ from strandlake.llm.common import stored
 
 
 def _pull(pairs: DataFrame) -> DataFrame:
-    """Each u's neighbours v get the least of u and its neighbours. Minima are pre-aggregated; no neighbour list is gathered."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """Each u's neighbours v get the least of u and its neighbours. Minima are pre-aggregated and no neighbour list is gathered;
+    they are written before they are joined back, so that Spark can split the rows of a u with very many neighbours."""
+    least = stored(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), pairs.sparkSession)
     return pairs.join(least, "u")
 
 
