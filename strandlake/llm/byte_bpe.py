@@ -31,9 +31,9 @@ KEPT_PIECES = 500_000
 #: Pieces of more bytes are contracted with a heap: one round a merge would take quadratic time in the recursive query.
 LONG_PIECE = 400
 #: New pieces in one recursive query.
-AT_ONCE = 25_000
+AT_ONCE = 40_000
 #: Bytes of text that are encoded at once.
-PIECE = 2 << 20
+PIECE = 3 << 20
 #: Seconds after which a worker without a task gives its coder up.
 IDLE_SECONDS = 2.0
 
