@@ -1,9 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature has SYMBOLS minimum hashes of 8 bits, in CHUNKS chunks. Two signatures that differ in at most
-RADIUS symbols have, by pigeonhole, a chunk that differs in at most RADIUS // CHUNKS = 1 symbol; so each chunk is indexed under
-all keys that leave one symbol out, and every pair within the radius meets under a key. RADIUS is four standard deviations
-above the expected distance at the threshold: a pair of similarity 0.85 lies beyond it with probability below 1e-4.
+A document's signature has minimum hashes of 8 bits, its symbols, in chunks. Two signatures that differ in at most
+`radius` symbols have, by pigeonhole, a chunk that differs in at most radius // chunks = 1 symbol; so each chunk is indexed under
+all keys that leave one symbol out, and every pair within the radius meets under a key. The radius is four standard deviations
+above the expected distance at the threshold: a pair of just that similarity lies beyond it with probability below 1e-4. `layout`
+derives it and the chunks from the threshold: 18 chunks of 7 symbols with radius 35 at 0.85, 27 of 6 with radius 53 at 0.8.
 
 Links are confirmed on the full shingle sets. Rows of equal sets are one class with one member in the index. In a
 key's bucket the members are first compared with the bucket's least member alone, its hub (a star). Then, for hubs whose
@@ -16,7 +17,10 @@ nothing. Rows that share an id are kept or dropped together. Other columns of th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +32,57 @@ from pyspark.sql import Window
 from strandlake.llm.common import U64, mix, pieces, shingle_sets, stored, table, words_of
 from strandlake.llm.graph import components
 
-CHUNKS, PER_CHUNK = 18, 7
-SYMBOLS, RADIUS = CHUNKS * PER_CHUNK, 35
-assert RADIUS // CHUNKS == 1
 SHINGLE, PERCENT = 5, 85
+#: Symbols of a signature at most: each is a row in the index.
+MOST_SYMBOLS = 192
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Of signatures for pairs of at least so many per cent."""
+
+    percent: int
+    chunks: int
+    per_chunk: int
+    radius: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.per_chunk
+
+
+def layout(percent: int) -> Layout:
+    """The longest chunks, and the fewest of them, for which one error a chunk covers the radius."""
+    differ = 1 - percent / 100
+    for per_chunk in range(8, 1, -1):
+        for chunks in range(2, MOST_SYMBOLS // per_chunk + 1):
+            n = chunks * per_chunk
+            radius = math.ceil(n * differ + 4 * math.sqrt(n * differ * (1 - differ)))
+            if radius < 2 * chunks:
+                return Layout(percent, chunks, per_chunk, radius)
+    raise ValueError(f"no signature of {MOST_SYMBOLS} symbols has a radius for {percent} %")
+
+
+CHUNKS, PER_CHUNK, RADIUS = layout(PERCENT).chunks, layout(PERCENT).per_chunk, layout(PERCENT).radius
+SYMBOLS = layout(PERCENT).symbols
 
 _R = np.random.Generator(np.random.PCG64(77))
-_MULTIPLY = (_R.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_ADD = _R.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)[:, None]
+_MULTIPLY = (_R.integers(1, 1 << 31, MOST_SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_ADD = _R.integers(0, 1 << 32, MOST_SYMBOLS, dtype=np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """CHUNKS 56-bit numbers, each of PER_CHUNK symbols."""
+def signature(shingles: np.ndarray, of: Layout) -> np.ndarray:
+    """A number for each chunk, of 8 bits for each of its symbols."""
     x = (shingles >> U64(32)).astype(np.uint32)[None, :]
-    low = np.full(SYMBOLS, 0xFFFFFFFF, dtype=np.uint32)
+    low = np.full(of.symbols, 0xFFFFFFFF, dtype=np.uint32)
+    multiply, add = _MULTIPLY[: of.symbols], _ADD[: of.symbols]
     for at in range(0, x.shape[1], 512):  # blocks that stay in the cache
-        np.minimum(low, (x[:, at : at + 512] * _MULTIPLY + _ADD).min(axis=1), out=low)
-    symbol = (mix(low.astype(np.uint64) + U64(1)) >> U64(56)).reshape(CHUNKS, PER_CHUNK)
-    return (symbol << (U64(8) * np.arange(PER_CHUNK, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        np.minimum(low, (x[:, at : at + 512] * multiply + add).min(axis=1), out=low)
+    symbol = (mix(low.astype(np.uint64) + U64(1)) >> U64(56)).reshape(of.chunks, of.per_chunk)
+    return (symbol << (U64(8) * np.arange(of.per_chunk, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, of: Layout) -> DataFrame:
     """doc_id, n (size of the shingle set), two hashes of the whole set, and the signature."""
     schema = "doc_id bigint, n bigint, set_a bigint, set_b bigint, chunks array<bigint>"
 
@@ -56,30 +90,30 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(words_of(part.column("text"), lower=True), SHINGLE)
-                rows = np.zeros((len(sets), 2 + CHUNKS), dtype=np.uint64)
+                rows = np.zeros((len(sets), 2 + of.chunks), dtype=np.uint64)
                 for i, s in enumerate(sets):
                     if len(s):
                         rows[i, 0], rows[i, 1] = s.sum(dtype=np.uint64), mix(s + U64(12345)).sum(dtype=np.uint64)
-                        rows[i, 2:] = signature(s)
+                        rows[i, 2:] = signature(s, of)
                 rows = rows.view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * CHUNKS, pa.array(rows[:, 2:].ravel()))], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * of.chunks, pa.array(rows[:, 2:].ravel()))], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
-def index_rows(classes: DataFrame) -> DataFrame:
+def index_rows(classes: DataFrame, of: Layout) -> DataFrame:
     """(key, rep): a row for each chunk and each left-out symbol."""
-    keep = np.array([0xFFFFFFFFFFFFFF ^ (0xFF << (8 * j)) for j in range(PER_CHUNK)], dtype=np.uint64)
+    keep = np.array([((1 << (8 * of.per_chunk)) - 1) ^ (0xFF << (8 * j)) for j in range(of.per_chunk)], dtype=np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.arange(SYMBOLS, dtype=np.uint64)
+        places = np.arange(of.symbols, dtype=np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                chunks = part.column("chunks").flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS)
-                masked = (chunks[:, :, None] & keep[None, None, :]).reshape(len(chunks), SYMBOLS)
+                chunks = part.column("chunks").flatten().to_numpy().view(np.uint64).reshape(-1, of.chunks)
+                masked = (chunks[:, :, None] & keep[None, None, :]).reshape(len(chunks), of.symbols)
                 key = mix(mix(masked) + places[None, :] * U64(0x9E3779B97F4A7C15)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), SYMBOLS))], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), of.symbols))], names=["key", "rep"])
 
     return classes.select("rep", "chunks").mapInArrow(spread, "key bigint, rep bigint")
 
@@ -91,15 +125,15 @@ def _differing() -> Column:
         d = x.bitwiseXOR(y)
         for shift in (4, 2, 1):
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        return d.bitwiseAND(F.lit(0x01010101010101))
+        return d.bitwiseAND(F.lit(0x0101010101010101))
 
     return F.zip_with("a.chunks", "b.chunks", fold)
 
 
-def within_radius() -> Column:
-    """Sizes allow the similarity and the signatures differ in at most RADIUS symbols."""
-    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * PERCENT
-    return sizes & (F.aggregate(_differing(), F.lit(0), lambda total, d: total + F.bit_count(d)) <= RADIUS)
+def within_radius(of: Layout) -> Column:
+    """Sizes allow the similarity and the signatures differ in at most `radius` symbols."""
+    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * of.percent
+    return sizes & (F.aggregate(_differing(), F.lit(0), lambda total, d: total + F.bit_count(d)) <= of.radius)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +148,7 @@ def _sets(bodies: list[bytes]) -> list[np.ndarray]:
     return shingle_sets(words_of(pa.array([press.decompress(b) for b in bodies], pa.large_binary()), lower=True), SHINGLE)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
@@ -125,14 +159,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(u, v):
                 x, y = of[a], of[b]
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(u, v) whose full shingle sets are similar enough. Texts travel compressed and each set is made anew."""
     full = pairs.join(bodies.select(F.col("id").alias("u"), F.col("body").alias("u_body")), "u").join(bodies.select(F.col("id").alias("v"), F.col("body").alias("v_body")), "v")
-    return full.select("u", "v", "u_body", "v_body").mapInArrow(_confirm, "u bigint, v bigint")
+    return full.select("u", "v", "u_body", "v_body").mapInArrow(partial(_confirm, percent=percent), "u bigint, v bigint")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -156,7 +190,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return total.astype(np.int64)
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub, i, j -> links between components, as few as join all that are linked in a block."""
 
     def blocks() -> Iterator[list[tuple]]:
@@ -180,7 +214,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         x, y = [of[r[1]] for r in left], [of[r[1]] for r in right]
         common = common_counts(x, y)
         sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-        link = 100 * common >= PERCENT * (sizes - common)
+        link = 100 * common >= percent * (sizes - common)
         link &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
         parent: dict[int, int] = {}
 
@@ -203,7 +237,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
 
 
-def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
+def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Links that the stars missed. Two members of a bucket are both spokes of its hub; so, for each hub whose spokes are in several
     components, those outside the hub's component are compared with all, in blocks of bounded size. Few rows leave a block."""
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("_r"))
@@ -220,25 +254,27 @@ def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bo
     at = F.xxhash64("id")
     left = s.where("outside").select("hub", F.pmod(at, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("stray"), "id", "root", "body")
     right = s.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("stray"), "id", "root", "body")
-    return left.union(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_compare_blocks, "u bigint, v bigint")
+    return left.union(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_compare_blocks, percent=percent), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id) of each document."""
-    sketch = stored(sketches(docs), spark)
+def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id) of each document. Links are
+    pairs whose shingle sets have at least so many per cent of their union in common."""
+    of = layout(percent)
+    sketch = stored(sketches(docs, of), spark)
     same = ["n", "set_a", "set_b"]
     classes = stored(sketch.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("chunks").alias("chunks")), spark)
     # Every member of a bucket but the least, with that least member, its hub.
     by_key = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spokes = index_rows(classes).select(F.col("rep").alias("u"), F.first("rep").over(by_key).alias("v")).where("u <> v").distinct()
+    spokes = index_rows(classes, of).select(F.col("rep").alias("u"), F.first("rep").over(by_key).alias("v")).where("u <> v").distinct()
     spokes = stored(spokes, spark)
 
     signed = classes.select("rep", "n", "chunks")
     bodies = docs.select("doc_id", "text").mapInArrow(_packed, "id bigint, body binary")
-    near = spokes.join(signed.alias("a"), F.col("u") == F.col("a.rep")).join(signed.alias("b"), F.col("v") == F.col("b.rep")).where(within_radius()).select("u", "v")
-    links = stored(confirmed(near, bodies), spark)
+    near = spokes.join(signed.alias("a"), F.col("u") == F.col("a.rep")).join(signed.alias("b"), F.col("v") == F.col("b.rep")).where(within_radius(of)).select("u", "v")
+    links = stored(confirmed(near, bodies, percent), spark)
     roots = components(links, spark)
-    more = stored(between_components(spokes, roots, classes.select(F.col("rep").alias("id"), "n"), bodies), spark)
+    more = stored(between_components(spokes, roots, classes.select(F.col("rep").alias("id"), "n"), bodies, percent), spark)
     if not more.isEmpty():
         roots = components(links.union(more), spark)
 
@@ -247,9 +283,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return member_of.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = PERCENT) -> DataFrame:
     """The kept rows of docs, with all their columns."""
-    gone = near_duplicates(docs, spark).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, spark, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
