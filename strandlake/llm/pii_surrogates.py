@@ -2,7 +2,9 @@
 
 An entity's canonical form (digits of a number, lower-cased address, one part of a name) decides its surrogate, so all mentions
 of it, in any format, stay together (coreference). Surrogates are drawn by a keyed SHA-256; a draw that equals another
-surrogate or a canonical form found in the corpus is drawn again, so different entities stay different. A mention's format is kept:
+surrogate or a canonical form found in the corpus is drawn again, so different entities stay different. Local parts, domains and
+surnames grow with the draws. Kinds of fixed size whose space fills up get its free values one by one; where it has fewer than entities, all
+entities of that form trade their canonical forms in a keyed cycle: still distinct and never their own. A mention's format is kept:
 separators, case, length, country code, the Luhn check of a card number; a given name is replaced by one of the same gender and
 script, a surname by one of the same script.
 
@@ -21,8 +23,10 @@ from pyspark.sql import Window
 from strandlake.llm.common import stored, table
 
 KEY = "strandlake surrogates 1"
-#: Draws of a surrogate at most; spaces are so large that a few are enough.
+#: Draws of a surrogate; what they leave is placed by `placed` (a space that is nearly full).
 DRAWS = 30
+#: From each so many draws on, local parts and domains have a letter more.
+GROW = 3
 
 # Common given names by script and gender.
 GIVEN = {
@@ -131,6 +135,7 @@ def drawn(part: Column, canon: Column, draw: Column) -> Column:
     card = F.when(_luhn_sum(canon) % 10 == 0, checked).otherwise(first(1))
     ip = F.concat_ws(".", (_number(noise, 0) % 223 + 1).cast("string"), *((_number(noise, i) % 256).cast("string") for i in (1, 2, 3)))
     script = script_of(canon)
+    more = F.translate(F.substr(_noise(part, canon, draw.cast("string"), F.lit("more")), F.lit(1), F.floor(draw / GROW).cast("int")), "0123456789", "ghijklmnop")
 
     def surname(name: str) -> Column:
         syllables = F.array(*(F.lit(s) for s in SYLLABLES[name]))
@@ -138,7 +143,7 @@ def drawn(part: Column, canon: Column, draw: Column) -> Column:
         return F.concat(F.array_join(parts, ""), F.lit(ENDINGS[name]))
 
     labels = F.split(canon, r"\.")
-    domain = F.concat_ws(".", F.array_join(F.transform(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda x, j: _like(x, _noise(part, canon, draw.cast("string"), j.cast("string")))), "."), F.element_at(labels, -1))
+    domain = F.concat_ws(".", F.concat(more, F.array_join(F.transform(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda x, j: _like(x, _noise(part, canon, draw.cast("string"), j.cast("string")))), ".")), F.element_at(labels, -1))
     return (
         F.when(part == "ip", ip)
         .when(part == "card", card)
@@ -146,6 +151,7 @@ def drawn(part: Column, canon: Column, draw: Column) -> Column:
         .when(part == "iban", first(2))
         .when(part == "secret", F.substr(F.repeat(noise, 4), F.lit(1), F.length(canon)))
         .when(part == "domain", domain)
+        .when(part == "local", F.concat(digits, more))
         .when(part == "surname", F.when(script == "cyrillic", surname("cyrillic")).when(script == "greek", surname("greek")).otherwise(surname("latin")))
         .otherwise(digits)
     )
@@ -166,8 +172,44 @@ def given_names(spark: SparkSession) -> DataFrame:
     return names.select("part", "canon", F.coalesce(F.lead("canon").over(ring), F.first("canon").over(whole)).alias("surrogate"))
 
 
+def form_of(part: Column, canon: Column) -> Column:
+    """Canons of one part and form can stand for each other."""
+    pattern = F.regexp_replace(F.regexp_replace(canon, r"\d", "0"), r"\p{L}", "a")
+    n = F.length(canon)
+    return (
+        F.when(part.isin("phone", "ssn"), F.concat(F.substr(canon, F.lit(1), F.greatest(n - 10, F.lit(0))), F.lit(":"), n.cast("string")))
+        .when(part == "card", F.concat_ws(":", F.substr(canon, F.lit(1), F.lit(1)), n.cast("string"), (_luhn_sum(canon) % 10 == 0).cast("string")))
+        .when(part == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), pattern))
+        .when(part == "secret", n.cast("string"))
+        .otherwise("")
+    )
+
+
+def placed(open_: DataFrame, found: DataFrame, done: DataFrame, taken: DataFrame, spark: SparkSession) -> DataFrame:
+    """done and the canons that DRAWS draws left without a surrogate, which only happens where a large share of a space is used: so
+    its values are no more than a small multiple of the canons found, and are listed. Then whole forms without a free value trade canons."""
+    left = stored(open_.withColumn("form", form_of(F.col("part"), F.col("canon"))), spark)
+    keyed = lambda c: F.sha2(F.concat(F.lit(KEY), c), 256)
+    number = lambda c: F.row_number().over(Window.partitionBy("part").orderBy(keyed(c), c)).alias("_no")
+    for row in left.where("part in ('phone', 'ssn')").groupBy("part", "form").count().collect():  # a row for each form that is nearly full
+        prefix, n = row["form"].split(":")
+        size = int(n) - len(prefix)
+        values = spark.range(10**size).select(F.lit(row["part"]).alias("part"), F.concat(F.lit(prefix), F.lpad(F.col("id").cast("string"), size, "0")).alias("surrogate"))
+        free = values.join(taken, ["part", "surrogate"], "left_anti").orderBy(keyed(F.col("surrogate")), "surrogate").limit(row["count"])
+        these = left.where((F.col("part") == row["part"]) & (F.col("form") == row["form"]))
+        pairs = these.select("part", "canon", number(F.col("canon"))).join(free.select("part", "surrogate", number(F.col("surrogate"))), ["part", "_no"])
+        done = done.unionByName(stored(pairs.select("part", "canon", "surrogate"), spark))
+    full = left.join(done, ["part", "canon"], "left_anti").select("part", "form").distinct()
+    every = found.where("part <> 'given'").withColumn("form", form_of(F.col("part"), F.col("canon"))).join(full, ["part", "form"], "left_semi")
+    ring = Window.partitionBy("part", "form").orderBy(keyed(F.col("canon")), "canon")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    traded = stored(every.select("part", "canon", F.coalesce(F.lead("canon").over(ring), F.first("canon").over(whole)).alias("surrogate")), spark)
+    return done.join(traded, ["part", "canon"], "left_anti").unionByName(traded)
+
+
 def surrogates(found: DataFrame, spark: SparkSession) -> DataFrame:
-    """found: distinct (part, canon) -> (part, canon, surrogate), different for different canons of a part, and none of them a canon."""
+    """found: distinct (part, canon) -> (part, canon, surrogate), different for different canons of a part, and none of them a canon
+    unless the canon's form has too few values (see `placed`)."""
     given = given_names(spark).join(found, ["part", "canon"], "left_semi")
     open_ = found.where("part <> 'given'")
     taken = found.select("part", F.col("canon").alias("surrogate"))
@@ -183,7 +225,7 @@ def surrogates(found: DataFrame, spark: SparkSession) -> DataFrame:
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done).unionByName(given)
         taken = taken.unionByName(good.select("part", "surrogate"))
-    raise RuntimeError(f"entities without a surrogate of their own after {DRAWS} draws")
+    return placed(open_, found, reduce(DataFrame.unionByName, done), taken, spark).unionByName(given)
 
 
 def _in_format(mention: Column, digits: Column) -> Column:
