@@ -8,8 +8,8 @@ entities of that form trade their canonical forms in a keyed cycle: still distin
 separators, case, length, country code, the Luhn check of a card number; a given name is replaced by one of the same gender and
 script, a surname by one of the same script.
 
-Null and empty texts stay as they are, with no entities. Rows that share an id are told apart by their texts' entities only if
-the ids differ; so ids must identify rows, and a null id is a row's own id. All other columns are kept as they are.
+Null and empty texts stay as they are, with no entities. Rows are told apart by id and a 64-bit hash of the text, so rows may
+be repeated, and may share an id or have none. All other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -254,21 +254,22 @@ def rendered(kind: Column, mention: Column, parts: Column) -> Column:
 
 def with_surrogates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """docs with surrogates in text and a column n_entities; rows without entities as they are."""
-    lists = docs.select("doc_id", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("mentions")).where(F.size("mentions") > 0)
-    lists = stored(lists, spark)
-    mentions = lists.select("doc_id", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
-    parts = mentions.select("doc_id", "at", "mention", "kind", F.posexplode(parts_of(F.col("kind"), F.col("mention"))).alias("side", "p")).select("doc_id", "at", "mention", "kind", "side", "p.part", "p.canon")
+    row = ["doc_id", "_pii_h"]
+    lists = docs.select("doc_id", F.xxhash64("text").alias("_pii_h"), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("mentions")).where(F.size("mentions") > 0)
+    lists = stored(lists.dropDuplicates(row), spark)  # equal rows have equal results
+    mentions = lists.select(*row, F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    parts = mentions.select(*row, "at", "mention", "kind", F.posexplode(parts_of(F.col("kind"), F.col("mention"))).alias("side", "p")).select(*row, "at", "mention", "kind", "side", "p.part", "p.canon")
     # Spark broadcasts the surrogates if they are small; else it splits the rows of an entity that many documents mention.
     chosen = stored(surrogates(parts.select("part", "canon").distinct(), spark), spark)
     joined = parts.join(chosen, ["part", "canon"])
     # A document's own mentions are gathered: as many as its text holds.
     # A name's part that stands alone elsewhere in the document follows its mention.
     alone = F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.struct(F.initcap("canon").alias("old"), F.initcap("surrogate").alias("new"))))).alias("_pii_alone")
-    alone = joined.where("kind = 'name'").groupBy("doc_id").agg(alone)
-    whole = joined.groupBy("doc_id", "at", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "surrogate"))), lambda x: x["surrogate"]).alias("sides"))
-    whole = whole.select("doc_id", "at", rendered(F.col("kind"), F.col("mention"), F.col("sides")).alias("new"))
-    new = whole.join(alone.withColumnRenamed("doc_id", "_pii_d"), F.col("doc_id").eqNullSafe(F.col("_pii_d")), "left").groupBy("doc_id").agg(F.first("_pii_alone").alias("_pii_alone"), F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_pii_new")).withColumnRenamed("doc_id", "_pii_id")
-    both = docs.join(new, docs["doc_id"].eqNullSafe(new["_pii_id"]), "left")
+    alone = joined.where("kind = 'name'").groupBy(*row).agg(alone).withColumnsRenamed({"doc_id": "_pii_d", "_pii_h": "_pii_g"})
+    whole = joined.groupBy(*row, "at", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "surrogate"))), lambda x: x["surrogate"]).alias("sides"))
+    whole = whole.select(*row, "at", rendered(F.col("kind"), F.col("mention"), F.col("sides")).alias("new"))
+    new = whole.join(alone, F.col("doc_id").eqNullSafe(F.col("_pii_d")) & (F.col("_pii_h") == F.col("_pii_g")), "left").groupBy(*row).agg(F.first("_pii_alone").alias("_pii_alone"), F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_pii_new")).withColumnRenamed("doc_id", "_pii_id")
+    both = docs.join(new, docs["doc_id"].eqNullSafe(new["_pii_id"]) & (F.xxhash64(docs["text"]) == new["_pii_h"]), "left")
     pieces = F.split("text", ENTITY, -1)
     text = F.when(F.col("_pii_new").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_pii_new"), i), F.lit("")))), ""))
     follow = lambda t, x, form: F.regexp_replace(t, F.concat(F.lit(_EDGE), form(x["old"]), F.lit(_END)), form(x["new"]))
