@@ -24,8 +24,8 @@ from strandlake.llm.quality_rules import FEATURES, statistics
 #: Labelled documents in the fit at most, hashed features, and the tail probability from which a document is kept.
 SAMPLE, WIDTH, KEEP_FROM = 8000, 1 << 18, 0.5
 GRADES = 3
-#: Features in fewer documents of the sample, or that deviate less, have no weight.
-LEAST_DOCS, SIGMA = 3, 7.0
+#: Standard errors at which a feature counts half, and how steeply it counts less below.
+SIGMA, POWER = 7.0, 4
 #: Lengths of the heads of words that are features of their own: inflected words share them.
 HEADS = (4, 5, 6)
 
@@ -82,17 +82,18 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
-def telling(feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """The features whose documents' grades deviate from the sample's by SIGMA standard errors at some level. Long texts hold
-    thousands of words that say nothing, and without their weights a few that do can decide."""
+def strength(feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """How much each feature counts, from 0 to 1, by the standard errors that its documents' grades deviate from the sample's at some
+    level: its ridge penalty grows by the square of the inverse. Long texts hold thousands of words that say nothing, and with full
+    weights they would drown a few that do; but no feature is cut, however rare."""
     n = np.bincount(feature, minlength=WIDTH)
-    keep = np.zeros(WIDTH, dtype=bool)
+    most = np.zeros(WIDTH)
     for level in range(GRADES - 1):
         above = (grade > level).astype(float)
         p = above.mean()
         z = (np.bincount(feature, above[row], WIDTH) - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-        keep |= np.abs(z) >= SIGMA
-    return keep & (n >= LEAST_DOCS)
+        most = np.maximum(most, np.abs(z))
+    return most**POWER / (most**POWER + SIGMA**POWER)
 
 
 def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.15, ridge: float = 3e-4) -> Ordinal:
@@ -102,9 +103,11 @@ def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int =
     if not len(grade):
         return Ordinal(w, np.array([-2.0, -1.0]))
     row = np.repeat(np.arange(len(grade)), np.diff(first))
-    ok = telling(feature, row, grade)[feature]
-    row = row[ok]
-    used, col = np.unique(feature[ok], return_inverse=True)
+    used = np.flatnonzero(np.bincount(feature, minlength=WIDTH))
+    scale = strength(feature, row, grade)[used]
+    place = np.zeros(WIDTH, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    col = place[feature]
     v = np.zeros(len(used))
     state = [np.zeros(len(used) + len(cuts)) for _ in range(2)]
     levels = np.arange(GRADES - 1)
@@ -112,11 +115,11 @@ def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int =
     share = 1 / np.maximum(np.bincount(grade, minlength=GRADES), 1)[grade] * len(grade) / GRADES  # rare grades count as much
     for k in range(1, steps + 1):
         theta = np.cumsum([cuts[0], *np.exp(cuts[1:])])
-        z = np.bincount(row, v[col], len(grade))
+        z = np.bincount(row, (v * scale)[col], len(grade))
         # Cumulative logits share w, so the sum of the binary likelihoods of grade > level is maximised with ordered thresholds.
         p = 1 / (1 + np.exp(np.clip(theta[None, :] - z[:, None], -40, 40)))
         slope = (p - at_least) * share[:, None] / len(grade)
-        gv = np.bincount(col, slope.sum(axis=1)[row], len(used)) + ridge * v
+        gv = np.bincount(col, slope.sum(axis=1)[row], len(used)) * scale + ridge * v
         gt = -slope.sum(axis=0)
         gc = np.array([gt.sum(), *(gt[j:].sum() * np.exp(cuts[j]) for j in range(1, len(cuts)))])
         g = np.concatenate([gv, gc])
@@ -124,7 +127,7 @@ def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int =
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = rate * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.99**k)) + 1e-8) * min(1, 2 * (1 - k / (steps + 1)))
         v, cuts = v - move[: len(used)], cuts - move[len(used) :]
-    w[used] = v
+    w[used] = v * scale
     return Ordinal(w, np.cumsum([cuts[0], *np.exp(cuts[1:])]))
 
 
