@@ -1,11 +1,13 @@
 """Shared folder, tables, and word arrays used by the text operators.
 
 Word arrays: a column of texts is handled in pieces of a few megabytes; every piece becomes one byte buffer and numpy
-arrays of word starts, ends and 64-bit word hashes, so that no Python code runs per word.
+arrays of word starts, ends and 64-bit word hashes, so that no Python code runs per word. What is equal has equal hashes; what differs
+has with a probability of 2 ** -64 a pair, whatever its letters, as bytes pass a non-linear finaliser.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,28 +23,14 @@ PIECE_BYTES = 1 << 20
 ARROW_ROWS = 2000
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-#: A random odd 64-bit value for each byte, and odd multipliers.
-BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Odd multipliers: one for chains of hashes, and one for each place of a run of words.
 STEP = U64(0x9E3779B97F4A7C15)
-STEP_INVERSE = U64(pow(int(STEP), -1, 1 << 64))
-ORDER_CODE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
+ORDER_CODE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.isin(np.arange(256), list(SPACES))
 LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept between calls."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _powers[int(base)] = have
-    return have[:n]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,6 +42,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def loads(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; places beyond the end hold zeros."""
+    padded = np.zeros(len(raw) + 16, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 8, "<u8", padded, strides=(1,))
+
+
+def spans_hash(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes start .. stop - 1. Eight bytes at a time go through the finaliser, so that no relation between bytes (as
+    the sums of a polynomial hash have) makes different runs equal."""
+    size = (stop - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) * STEP + U64(0x5851F42D4C957F2D))
+    eight = loads(raw)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(live):
+        x = eight[start[live] + done]
+        left = size[live] - done
+        x = np.where(left < 8, x & ((U64(1) << (U64(8) * np.minimum(left, 7).astype(np.uint64))) - U64(1)), x)
+        h[live] = mix((h[live] ^ x) * STEP)
+        live = live[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def chain_hash(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of each run of numbers h[low] .. h[high - 1], by the same chain."""
+    out = mix((high - low).astype(np.uint64) * STEP + U64(0x14057B7EF767814F))
+    live, done = np.flatnonzero(high > low), 0
+    while len(live):
+        out[live] = mix((out[live] ^ h[low[live] + done]) * STEP)
+        done += 1
+        live = live[high[live] - low[live] > done]
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -140,14 +166,7 @@ def words_of(texts: pa.Array, lower: bool, codes: np.ndarray | None = None) -> W
     last = offsets[1:][np.diff(offsets) > 0]
     ends[last] |= ~space[last - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    if n:
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_CODE[raw] * powers(STEP, n), out=sums[1:])
-        h = (sums[end] - sums[start]) * powers(STEP_INVERSE, n)[start]
-        h = mix(h + (end - start).astype(np.uint64))
-    else:
-        h = np.zeros(0, dtype=np.uint64)
+    h = spans_hash(raw, start, end)
     return Words(raw, offsets, start, end, np.searchsorted(start, offsets), h)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import trees
-from strandlake.llm.common import U64, mix, pieces, text_buffer, windows_hash, words_of
+from strandlake.llm.common import U64, mix, pieces, spans_hash, table, windows_hash, words_of
 
 #: Labelled documents that a model is fitted on at most: those of the smallest hashes of their ids.
 SAMPLE = 8000
@@ -78,7 +78,7 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         stop = np.where((stop > start) & (raw[np.maximum(stop - 1, 0)] == 10), stop - 1, stop)
         has = np.searchsorted(w.start, stop) > np.searchsorted(w.start, start)
         start, stop, row = start[has], stop[has], row[has]
-        h = _span_hash(raw, start, stop)
+        h = spans_hash(raw, start, stop)
         lines = np.bincount(row, minlength=n)
         key = mix(h + row.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
         _, once = np.unique(key, return_index=True)
@@ -93,14 +93,6 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return counts, np.stack(features, axis=1).astype(np.float64)
 
 
-def _span_hash(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    from strandlake.llm.common import BYTE_CODE, STEP, STEP_INVERSE, powers
-
-    n = len(raw)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[raw] * powers(STEP, n))])
-    return mix((sums[stop] - sums[start]) * powers(STEP_INVERSE, n + 1)[start] + (stop - start).astype(np.uint64))
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(doc_id, text, quality): the labelled documents of the smallest hashes of their ids, at most so many; conflicting labels count as bad."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -157,7 +149,5 @@ def kept_documents(docs: DataFrame, model: trees.Trees) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))

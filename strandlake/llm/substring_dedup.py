@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import anchors
-from strandlake.llm.common import STEP, STEP_INVERSE, U64, mix, pieces, powers, stored, table, windows_hash, words_of
+from strandlake.llm.common import U64, chain_hash, mix, pieces, stored, table, windows_hash, words_of
 
 WINDOW, GRAM = 20, 5
 LEFT = WINDOW - GRAM
@@ -49,8 +49,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gram[: len(runs)] = runs
             at = anchors.select(gram, end - np.arange(n), WINDOW, GRAM)
             low, high = np.maximum(at - LEFT, begin[at]), np.minimum(at + WINDOW, end[at])
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(w.hash * powers(STEP, n))])
-            context = mix((sums[high] - sums[low]) * powers(STEP_INVERSE, n + 1)[low] + (at - low).astype(np.uint64) * U64(1000003) + (high - at).astype(np.uint64) * U64(10007))
+            context = mix(chain_hash(w.hash, low, high) + (at - low).astype(np.uint64) * U64(1000003))
             doc, pos = part.column("doc_id").to_numpy()[row[at]], at - begin[at]
             # Copies inside this piece: all but the first occurrence of a context are decided here and don't meet the others.
             order, _, cls = anchors.combine(gram[at], context, doc, pos)

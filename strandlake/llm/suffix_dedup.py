@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import anchors
-from strandlake.llm.common import BYTE_CODE, STEP, STEP_INVERSE, U64, mix, pieces, powers, stored, table, text_buffer
+from strandlake.llm.common import ORDER_CODE, U64, loads, mix, pieces, spans_hash, stored, table, text_buffer
 
 WINDOW, GRAM = 200, 64
 LEFT = WINDOW - GRAM
@@ -42,6 +42,28 @@ CONTEXT, WINDOW_ALONE, WINDOW_COPIED, WINDOW_KNOWN = 0, 1, 2, 3
 WHOLE, COMPARE = 1, 2
 
 
+def doubled(h: np.ndarray, width: int, level: int) -> np.ndarray:
+    """Hashes of runs of twice the width, from those of runs of `width`."""
+    n = max(len(h) - width, 0)
+    return mix(h[:n] * ORDER_CODE[level] + h[width : width + n])
+
+
+def runs_hash(raw: np.ndarray, doublings: int) -> np.ndarray:
+    """Hash of the 8 << doublings bytes from each place on that has so many: a tree over eight bytes at a time."""
+    h = mix(loads(raw)[: max(len(raw) - 7, 0)])
+    for level in range(doublings):
+        h = doubled(h, 8 << level, level)
+    return h
+
+
+def windows_hash(raw: np.ndarray) -> np.ndarray:
+    """Hash of the WINDOW = 128 + 64 + 8 bytes from each place on that has so many."""
+    n = max(len(raw) - WINDOW + 1, 0)
+    eight = runs_hash(raw, 0)
+    h64 = doubled(doubled(doubled(eight, 8, 0), 16, 1), 32, 2)
+    return mix(doubled(h64, 64, 3)[:n] * ORDER_CODE[20] + h64[128 : 128 + n] * ORDER_CODE[21] + eight[192 : 192 + n])
+
+
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", PIECE):
@@ -49,18 +71,14 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(raw)
             if n < WINDOW:
                 continue
-            sums = np.empty(n + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum(BYTE_CODE[raw] * powers(STEP, n), out=sums[1:])
-            back = powers(STEP_INVERSE, n + 1)
             gram = np.zeros(n, dtype=np.uint64)
-            gram[: n - GRAM + 1] = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
+            gram[: n - GRAM + 1] = runs_hash(raw, 3)
             size = np.diff(offsets)
             left = np.repeat(offsets[1:], size) - np.arange(n)
             at = anchors.select(gram, left, WINDOW, GRAM)
             row = np.searchsorted(offsets, at, side="right") - 1
             low, high = np.maximum(at - LEFT, offsets[row]), np.minimum(at + WINDOW, offsets[row + 1])
-            context = mix((sums[high] - sums[low]) * back[low] + (at - low).astype(np.uint64) * U64(1000003) + (high - at).astype(np.uint64) * U64(10007))
+            context = mix(spans_hash(raw, low, high) + (at - low).astype(np.uint64) * U64(1000003))
             doc, pos = part.column("doc_id").to_numpy()[row], at - offsets[row]
             # Of copies inside this piece one goes on; the others are covered, whatever is elsewhere.
             order, _, cls = anchors.combine(gram[at], context, doc, pos)
@@ -201,11 +219,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = [whole[a:b] for a, b in zip(low[cold].tolist(), high[cold].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(fp[cold]), pa.array(ids[row[cold]]), pa.array(pos[cold].astype(np.int32)), pa.array((place - low)[cold].astype(np.int32)), pa.array(np.full(len(body), CONTEXT, np.int8)), pa.array(body, pa.binary())], names=names)
             if hot.any():
-                n = len(raw)
-                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[raw] * powers(STEP, n))])
                 count = np.maximum(high - WINDOW - low + 1, 0)[hot]
                 start = np.unique(np.repeat(low[hot] - np.cumsum(count) + count, count) + np.arange(count.sum()))
-                h = mix((sums[start + WINDOW] - sums[start]) * powers(STEP_INVERSE, n + 1)[start])
+                h = windows_hash(raw)[start]
                 of = np.searchsorted(offsets, start, side="right") - 1
                 doc, start = ids[of], start - offsets[of]
                 order = np.lexsort((start, doc, h))
@@ -223,30 +239,28 @@ def compare(fp: np.ndarray, before: np.ndarray, raw: np.ndarray, offsets: np.nda
     """Contexts with their heads -> (found, most, least): whether a 200-byte string around the anchor is in another context of the same head,
     and the most and least bytes that such strings have before the anchor. All of them hold the anchor, so their union is one span."""
     n = len(fp)
-    size = np.diff(offsets)
-    after = size - before
-    base = np.zeros((n, LEFT + WINDOW), dtype=np.uint8)  # the anchor is in column LEFT
-    row = np.repeat(np.arange(n), size)
-    base[row, np.arange(len(raw)) - np.repeat(offsets[:-1] - LEFT + before, size)] = raw
+    after = np.diff(offsets) - before
+    anchor = offsets[:-1] + before
     _, group = np.unique(fp, return_inverse=True)
     salt = mix(group.astype(np.uint64) + U64(99))
-    lead, inverse = U64(pow(int(STEP), WINDOW - 1, 1 << 64)), STEP_INVERSE
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(WINDOW):
-        h = h * STEP + BYTE_CODE[base[:, LEFT + j]]
+    h, eight = windows_hash(raw), loads(raw)
     found, most, least = np.zeros(n, dtype=bool), np.full(n, -1), np.full(n, LEFT + 1)
     for s in range(LEFT + 1):
-        if s:
-            h = (h - BYTE_CODE[base[:, LEFT - s + WINDOW]]) * inverse + BYTE_CODE[base[:, LEFT - s]] * lead
         there = np.flatnonzero((before >= s) & (after >= WINDOW - s))
         if len(there) < 2:
             continue
-        key = mix(h[there] + salt[there])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
+        start = anchor[there] - s
+        key = mix(h[start] + salt[there])
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order][1:] == key[order][:-1])
+        # Neighbours of equal hashes are compared byte by byte.
+        a, b = start[order[same]], start[order[same + 1]]
+        for k in range(0, WINDOW, 8):
+            equal = eight[a + k] == eight[b + k]
+            if not equal.all():
+                same, a, b = same[equal], a[equal], b[equal]
         hit = np.zeros(len(there), dtype=bool)
-        hit[1:] = same
-        hit[:-1] |= same
+        hit[same] = hit[same + 1] = True
         at = there[order[hit]]
         found[at], most[at] = True, s
         least[at] = np.minimum(least[at], s)

@@ -1,10 +1,12 @@
 import random
 
+import brute
+import pyarrow as pa
 import pytest
 from brute import near_components, without_strings, without_windows
 from conftest import WORDS, odd_texts, sentence
 
-from strandlake.llm import near_dedup, substring_dedup, suffix_dedup
+from strandlake.llm import common, near_dedup, quality_rules, substring_dedup, suffix_dedup
 from strandlake.llm.graph import components
 
 
@@ -158,3 +160,27 @@ def test_suffix_automaton_finds_all_earlier_windows():
                     want |= {(k, j) for j in range(i, i + size)}
                 seen.add(t)
         assert got == want
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_hashes_tell_thue_morse_words_apart(spark, make_docs):
+    """Their polynomial hashes modulo a power of two are equal for any odd base."""
+    r = random.Random(5)
+    one, two = ("".join("ab"[x ^ k] for x in thue_morse(2048)) for k in (0, 1))
+    assert len(set(common.words_of(pa.array([one, two, one]), False).hash.tolist())) == 2
+    plain = [f"w{r.randrange(10**6)}" for _ in range(30)]
+    texts = [" ".join([one, *plain[:19]]), " ".join([two, *plain[:19]]), " ".join([one] * 5 + plain[:4]), " ".join([two] * 5 + plain[5:9])]
+    words = [["ab"[x ^ k] for x in thue_morse(32)] for k in (0, 1)]
+    texts += [" ".join(w + plain) for w in words]
+    docs = dict(enumerate(texts))
+    df = make_docs(texts)
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, spark).collect()}
+    assert near == brute.near_components(docs)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.without_repeated_strings(df, spark).collect()} == brute.without_strings(docs)
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.without_earlier_windows(df, spark).collect()} == brute.without_windows(docs)
+    lines = [f"{one}\n{two}\n{one}", f"{two}\n{one}"]
+    counts, _ = quality_rules.statistics(pa.array(lines))
+    assert counts["n_dup_lines"].tolist() == [1, 0]
