@@ -1,17 +1,21 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, a multi-index of Hamming blocks, exact verification.
 
-For each benchmark item, windows of the item's length slide over a document. A window and an item are fingerprinted by a weighted
-SimHash of BITS bits over their 5-word shingles. Fingerprints within RADIUS bits agree, by pigeonhole, up to RADIUS // BLOCKS bits in one of
+For each benchmark item, windows of the item's length slide over a document. A window and an item are fingerprinted by a
+SimHash of BITS bits over their 5-word shingles, where the second, third ... occurrence of a shingle is a feature of its own: so the counts
+weigh, all features weigh the same, and the weighted Jaccard similarity of the counts is the share of features in common. Fingerprints
+within RADIUS bits agree, by pigeonhole, up to RADIUS // BLOCKS bits in one of
 BLOCKS blocks; the item side lists every value within that many bits of each block, so a window finds all items within the
 radius by one look-up a block. RADIUS is four standard deviations above the distance expected at the threshold. Candidates
 are verified by exact weighted Jaccard similarity: the counts of shingles, least over greatest, at least 0.8.
 
 Only windows that hold a shingle of some item are fingerprinted: others have similarity 0. Words are lower-cased (A-Z) runs of bytes other
 than space and \\x09-\\x0D, without ASCII punctuation at their ends. Items of fewer words than a shingle are one shingle of all their words; items
-without words match nothing. A benchmark is broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, which all documents
-are checked against; each block's size is known before it is sent.
+without words match nothing. A benchmark is broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, one after another, and all
+documents are checked against each; a block's size is known before it is sent, and its hits are written before the next one is made. The number of
+blocks doesn't change the result.
 
-Null and empty texts are clean. Repeated items are reported under the least item_id, repeated documents each get a row, and further columns
+Null and empty texts are clean. Repeated items are reported under the least item_id; an item without an id counts, and is reported as null.
+Every row of the documents gets a row, whatever ids they share or lack: hits are joined back by id and a hash of the text. Further columns
 are passed by.
 """
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import IS_SPACE, LOWER, U64, mix, pieces, table, text_buffer, windows_hash, words_of
+from strandlake.llm.common import IS_SPACE, LOWER, U64, mix, pieces, stored, table, text_buffer, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 128, 16, 36
@@ -75,7 +79,7 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     lengths: np.ndarray
     shingles: list[np.ndarray]
     counts: list[np.ndarray]
@@ -114,12 +118,17 @@ class Items:
     def _windows(self, runs, starts, stops, row, of_size) -> Iterator[tuple[int, int, float]]:
         wanted = np.zeros(len(self.ids), dtype=bool)
         wanted[of_size] = True
+        repeats = _with_repeats(runs, int((stops - starts).max()))
         for begin in range(0, len(starts), 4000):
             a, b = starts[begin : begin + 4000], stops[begin : begin + 4000]
             used, base = _span_places(a, b)
             signs = np.zeros((len(used) + 1, BITS), dtype=np.int32)
             np.cumsum(_bits(runs[used]), axis=0, dtype=np.int32, out=signs[1:])
-            prints = _pack(signs[base + (b - a)] - signs[base])
+            sums = signs[base + (b - a)] - signs[base]
+            again = np.flatnonzero(repeats[a] & (b - a > 1))
+            for at in range(0, len(again), 500):
+                _number_repeats(sums, again[at : at + 500], runs, a, b)
+            prints = _pack(sums)
             candidates: set[tuple[int, int]] = set()
             for block in range(BLOCKS):
                 values, which = np.unique(prints[:, block], return_inverse=True)
@@ -149,6 +158,41 @@ class Items:
         return float(least / (counts.sum() + self.counts[item].sum() - least))
 
 
+def _with_repeats(runs: np.ndarray, size: int) -> np.ndarray:
+    """For each place whether a shingle occurs twice among the next `size` ones (of any row, so at least where a window repeats one)."""
+    order = np.argsort(runs, kind="stable")
+    same = np.flatnonzero(runs[order][1:] == runs[order][:-1])
+    one, two = order[same], order[same + 1]
+    near = two - one < size
+    low, high = np.maximum(two[near] - size + 1, 0), one[near] + 1
+    n = len(runs) + 1
+    return np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n)) > 0
+
+
+def features(shingles: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence of a shingle; the first one's is the shingle's own."""
+    return np.where(occurrence == 0, shingles, mix(shingles + occurrence.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)))
+
+
+def _number_repeats(sums: np.ndarray, which: np.ndarray, runs: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Corrects the sums of windows with repeats: all occurrences of a shingle but the first become features of their own."""
+    size = b[which] - a[which]
+    window = np.repeat(which, size)
+    place = np.repeat(a[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    order = np.lexsort((runs[place], window))
+    window, shingle = window[order], runs[place][order]
+    new = np.ones(len(window), dtype=bool)
+    new[1:] = (window[1:] != window[:-1]) | (shingle[1:] != shingle[:-1])
+    at = np.arange(len(window))
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    later = np.flatnonzero(occurrence > 0)
+    for k in range(0, len(later), 50_000):
+        part = later[k : k + 50_000]
+        change = _bits(features(shingle[part], occurrence[part])) - _bits(shingle[part])
+        first = np.flatnonzero(np.concatenate([[True], window[part][1:] != window[part][:-1]]))
+        sums[window[part][first]] += np.add.reduceat(change.astype(np.int32), first, axis=0)
+
+
 def _span_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places that the windows a .. b cover, and where each window starts among them. a is sorted."""
     cover = np.zeros(int(b.max()) - int(a[0]) + 1, dtype=np.int32)
@@ -158,7 +202,7 @@ def _span_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return used + a[0], np.searchsorted(used, a - a[0])
 
 
-def index(ids: list[int], texts: list[str | None]) -> Items:
+def index(ids: list[int | None], texts: list[str | None]) -> Items:
     w = clean_words(pa.array(texts, pa.large_utf8()))
     keep, lengths, shingles, counts, prints = [], [], [], [], []
     for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
@@ -172,17 +216,18 @@ def index(ids: list[int], texts: list[str | None]) -> Items:
         lengths.append(b - a)
         shingles.append(values)
         counts.append(n)
-        prints.append(_pack(_bits(runs).sum(axis=0, dtype=np.int32)[None, :])[0])
+        expanded = features(np.repeat(values, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        prints.append(_pack(_bits(expanded).sum(axis=0, dtype=np.int32)[None, :])[0])
     prints = np.array(prints, dtype=np.uint8).reshape(-1, BLOCKS)
     distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
     near = [[np.flatnonzero(distance[value, prints[:, block]] <= NEAR) for value in range(256)] for block in range(BLOCKS)]
     known = {size: np.unique(np.concatenate([x for x, n in zip(shingles, lengths) if n == size])) for size in sorted(set(lengths))}
-    return Items(np.array(keep, dtype=np.int64), np.array(lengths, dtype=np.int64), shingles, counts, prints, known, near)
+    return Items(keep, np.array(lengths, dtype=np.int64), shingles, counts, prints, known, near)
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[str]]]:
     """Distinct items in blocks of a bounded size, by item_id; one item larger than a block is a block of its own."""
-    items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id")
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy(F.asc_nulls_last("item_id"), "text")
     ids, texts, size = [], [], 0
     for r in items.toLocalIterator():  # one partition at a time, in place of the whole benchmark
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(r["text"]) > BLOCK_BYTES):
@@ -195,49 +240,57 @@ def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
+HIT = "_hit_id bigint, _hit_text bigint, item_id bigint, similarity double"
+
+
 def _hits(docs: DataFrame, items: Items) -> DataFrame:
+    """Contaminated documents with their most similar item of a block."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value.ids
+        rank = lambda item, s: (s, ids[item] is not None, -(ids[item] or 0))
         for batch in batches:
             for part in pieces(batch, "text"):
-                n, item, best = np.zeros(part.num_rows, dtype=np.int64), np.full(part.num_rows, -1), np.zeros(part.num_rows)
-                for row, k, s in shared.value.matches(clean_words(part.column("text"))):
-                    n[row] += 1
-                    if s > best[row] or (s == best[row] and shared.value.ids[k] < item[row]):
-                        best[row], item[row] = s, shared.value.ids[k]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n > 0), pa.array(item, pa.int64(), mask=n == 0), pa.array(np.where(n > 0, best, 0.0))], names=["doc_id", "contaminated", "item_id", "similarity"])
+                best: dict[int, tuple[int, float]] = {}
+                for row, item, s in shared.value.matches(clean_words(part.column("text"))):
+                    if row not in best or rank(item, s) > rank(*best[row]):
+                        best[row] = (item, s)
+                if best:
+                    at = pa.array(list(best), pa.int64())
+                    found = [pa.array([ids[i] for i, _ in best.values()], pa.int64()), pa.array([s for _, s in best.values()])]
+                    yield pa.RecordBatch.from_arrays([part.column("_hit_id").take(at), part.column("_hit_text").take(at), *found], names=["_hit_id", "_hit_text", "item_id", "similarity"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("_hit_id"), F.xxhash64("text").alias("_hit_text"), "text").mapInArrow(find, HIT)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The most similar item of each contaminated (id, hash of the text). One pass over the documents a block; each block's hits are written."""
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], HIT)
+    for block in item_blocks(benchmark):
+        found = found.union(stored(_hits(docs, index(*block)), spark))
+    best = F.max_by(F.struct("item_id", "similarity"), F.struct("similarity", F.col("item_id").isNotNull(), -F.coalesce("item_id", F.lit(0))))
+    return stored(found.groupBy("_hit_id", "_hit_text").agg(best.alias("_hit")), spark)
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id bigint, contaminated boolean, item_id bigint, similarity double")
+
+def _same(docs: DataFrame, found: DataFrame):
+    return docs["doc_id"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs["text"]) == found["_hit_text"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_id and similarity of the most similar item (null and 0 if clean) of each document."""
-    blocks = [index(*block) for block in item_blocks(benchmark)] or [index([], [])]
-    found = [_hits(docs, b) for b in blocks]
-    if len(found) == 1:
-        return found[0]
-    together = found[0]
-    for other in found[1:]:
-        together = together.unionByName(other)
-    best = F.max_by(F.struct("item_id", "similarity"), F.struct("similarity", -F.coalesce("item_id", F.lit(0))))
-    return together.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), best.alias("b")).select("doc_id", "contaminated", "b.item_id", "b.similarity")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = hits(docs, benchmark)
+    # Spark broadcasts the hits if their file is small; else it splits the rows of an id that very many rows share.
+    joined = docs.join(found, _same(docs, found), "left")
+    return joined.select("doc_id", F.col("_hit").isNotNull().alias("contaminated"), F.col("_hit.item_id").alias("item_id"), F.coalesce("_hit.similarity", F.lit(0.0)).alias("similarity"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a benchmark passage, with all their columns."""
-    for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index(*block))
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in pieces(batch, "text"):
-                    good = np.ones(part.num_rows, dtype=bool)
-                    good[[row for row, _, _ in shared.value.matches(clean_words(part.column("text")))]] = False
-                    yield part.filter(pa.array(good))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    found = hits(docs, benchmark)
+    return docs.join(found, _same(docs, found), "left_anti").select(*docs.columns)
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,14 +183,35 @@ def test_contamination(spark, make_docs):
     assert left.columns == docs.columns and {x["doc_id"] for x in left.collect()} == {k for k, s in want.items() if s < 0.8}
 
 
-def test_contamination_in_blocks_and_without_rows(spark, make_docs, monkeypatch):
+@pytest.mark.parametrize("items_at_once", [2, 2000])
+def test_contamination_in_blocks_and_without_rows(spark, make_docs, monkeypatch, items_at_once):
     r = random.Random(12)
     items = [sentence(r, 25) for _ in range(6)]
-    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    texts = [items[4], "clean " + sentence(r, 30), sentence(r, 9) + " " + items[1], None]
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
-    docs = make_docs(texts)
-    assert {x["doc_id"]: x["item_id"] for x in decontaminate.contamination(docs, benchmark).collect()} == {0: 4, 1: None, 2: 1, 3: None}
-    assert {x["doc_id"] for x in decontaminate.clean_documents(docs, benchmark).collect()} == {1, 3}
+    benchmark = spark.createDataFrame([*enumerate(items[:5]), (None, items[5])], "item_id bigint, text string")
+    texts = [items[4], "clean " + sentence(r, 30), sentence(r, 9) + " " + items[1], None, items[5], items[4], items[0], "clean too", items[4] + " " + items[2]]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", items_at_once)
+    docs = make_docs(texts, [0, 1, 2, 3, 4, 0, None, None, 5])
+    got = [tuple(x) for x in decontaminate.contamination(docs, benchmark).collect()]
+    want = [(0, True, 4, 1.0), (1, False, None, 0.0), (2, True, 1, 1.0), (3, False, None, 0.0), (4, True, None, 1.0), (0, True, 4, 1.0), (None, True, 0, 1.0), (None, False, None, 0.0), (5, True, 2, 1.0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(x["text"] or "" for x in decontaminate.clean_documents(docs, benchmark).collect()) == sorted(["", texts[1], "clean too"])
     assert decontaminate.contamination(make_docs([]), benchmark).count() == 0
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
+
+
+def recall(n, seed=31):
+    """Share found of windows with a run of one word, shortened or drawn out, whose similarity is 0.8 to 0.9."""
+    r, found, all_ = random.Random(seed), 0, 0
+    while all_ < n:
+        words, run = sentence(r, r.randint(13, 50)).split(), r.randint(6, 12)
+        item = " ".join(words + ["again"] * run)
+        text = " ".join(words + ["again"] * (run + r.choice([-6, -5, -4, -3, 3, 4, 5, 6])))
+        if not 0.8 <= contamination({0: text}, [item])[0] < 0.9:
+            continue
+        all_ += 1
+        found += bool(list(decontaminate.index([1], [item]).matches(decontaminate.clean_words(pa.array([text])))))
+    return found / all_
+
+
+def test_contamination_recall_with_repeated_shingles():
+    assert recall(400) >= 0.99
