@@ -3,16 +3,23 @@
 For each language a suffix automaton of a bounded sample of its labelled text recognises every substring of the sample.
 A text is parsed greedily into longest matches; c phrases over n symbols against a sample of N symbols estimate the
 cross-entropy c * log2(N) / n, and the language with the least wins. Automata are dense transition tables, and numpy walks
-all blocks of a piece of texts against all languages in step. A parse starts anew every BLOCK symbols.
+all blocks of a piece of texts against all languages in step. Blocks of one text are first parsed as if each began a phrase; then the parse
+from the true state at a block's start is followed until it meets the other one, so counts are those of one parse of the whole text.
+
+The sample of a language: of at most SAMPLE_DOCS labelled rows, short ones first (up to LONG characters), then by a hash of the id, whole texts as
+long as they make SAMPLE_CHARS characters together; the first one always counts. Every language that has labelled text is learned; automata are
+broadcast for at most AT_ONCE languages, more of them in one pass over the documents each.
 
 Texts that are null or have no letter are `und` with score 0. Without labelled text every row is `und`. Ties go to the
-language with more sample symbols, then by name. Repeated rows each get a row; other columns are passed by.
+language with more sample symbols, then by name. Repeated rows each get a row and count once as samples; rows that share an id or have none are
+told apart by their texts (a row without an id isn't learned from). Other columns are passed by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import pieces, table, text_buffer
+from strandlake.llm.common import pieces, stored, table, text_buffer
 
-#: The sample: so many documents of a language at most, so many characters of each, and symbols over all languages.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 120, 600, 160_000
-#: Languages that can be told apart at most (the tables' size is bounded by SAMPLE_SYMBOLS whatever their number).
-LANGUAGES = 256
+#: The sample of each language: labelled rows and characters at most, and from how many characters on a text is taken only for want of others.
+SAMPLE_DOCS, SAMPLE_CHARS, LONG = 120, 40_000, 8000
+#: Languages whose automata are broadcast at once.
+AT_ONCE = 8
 BLOCK = 1024
 
 _LETTER = np.isin(np.arange(256), [*range(97, 123), *range(128, 256)])
@@ -111,20 +118,44 @@ class Model:
         row = np.repeat(np.arange(len(n)), blocks)
         if not len(row):
             return count, n
-        start = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = offsets[:-1][row] + nth * BLOCK
         size = np.minimum(BLOCK, offsets[1:][row] - start)
         order = np.argsort(-size, kind="stable")  # long blocks first, so that those still open are a prefix
-        row, start, size = row[order], start[order], size[order]
         coded = self.code[raw].astype(np.int64)
-        state = np.repeat(self.starts[:, None], len(row), axis=1)
-        ended = np.zeros(state.shape, dtype=np.int32)
-        open_at = np.searchsorted(-size, -np.arange(BLOCK), side="left")
-        for i in range(int(size[0])):
+        entry = np.repeat(self.starts[:, None], len(row), axis=1)
+        state, ended = entry.copy(), np.zeros(entry.shape, dtype=np.int32)
+        open_at = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")
+        first = start[order]
+        for i in range(int(size.max())):
             m = int(open_at[i])
-            move = self.moves[state[:, :m] * self.width + coded[start[:m] + i]]
+            move = self.moves[state[:, :m] * self.width + coded[first[:m] + i]]
             ended[:, :m] += move & 3
             state[:, :m] = move >> 2
-        ended += state != self.starts[:, None]  # a phrase still open
+        back = np.argsort(order)
+        state, ended = state[:, back], ended[:, back]
+        # A block's parse goes on where the one before it ended.
+        while True:
+            true = entry.copy()
+            true[:, 1:] = np.where(nth[1:] > 0, state[:, :-1], entry[:, 1:])
+            k, at = np.nonzero(true != entry)
+            if not len(k):
+                break
+            one, two, change = entry[k, at], true[k, at], np.zeros(len(k), dtype=np.int32)
+            live, i = np.arange(len(k)), 0
+            while len(live):
+                symbol = coded[start[at[live]] + i]
+                x, y = self.moves[one[live] * self.width + symbol], self.moves[two[live] * self.width + symbol]
+                change[live] += (y & 3) - (x & 3)
+                one[live], two[live] = x >> 2, y >> 2
+                i += 1
+                live = live[(one[live] != two[live]) & (i < size[at[live]])]
+            ended[k, at] += change
+            other = one != two
+            state[k[other], at[other]] = two[other]
+            entry = true
+        last = np.append(row[1:] != row[:-1], True)
+        ended += (state != self.starts[:, None]) & last[None, :]  # a phrase still open
         for k in range(len(self.languages)):
             count[:, k] = np.bincount(row, ended[k], len(n))
         return count, n
@@ -154,58 +185,82 @@ def build(samples: dict[str, np.ndarray]) -> Model:
     return Model(languages, np.array([len(samples[x]) for x in languages]), code, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(starts, dtype=np.int64), width)
 
 
-def learn(docs: DataFrame) -> Model:
-    """From text and lang of documents that aren't held out."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    # Spark keeps SAMPLE_DOCS rows of a language in each task before it shuffles them; the result has at most LANGUAGES * SAMPLE_DOCS ids.
-    chosen = ranked.where(F.col("place") <= SAMPLE_DOCS).select("doc_id", F.col("lang").alias("sample_lang"), "place").limit(LANGUAGES * SAMPLE_DOCS)
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").select("sample_lang", "place", "text").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["sample_lang"], r["place"], r["text"]))
-    texts: dict[str, list[str]] = {}
-    for r in rows:
-        texts.setdefault(r["sample_lang"], []).append(r["text"])
-    most = SAMPLE_SYMBOLS // max(1, len(texts))
-    samples = {}
-    for x, parts in texts.items():
-        raw, offsets = symbols(pa.array(parts, pa.string()))
-        joined = np.concatenate([np.append(raw[a:b], 0) for a, b in zip(offsets[:-1], offsets[1:])])[:most]
-        if (joined != 0).any():
-            samples[x] = joined
-    return build(samples)
+def learn(docs: DataFrame) -> list[Model]:
+    """From text and lang of documents that aren't held out: models of at most AT_ONCE languages each."""
+    spark = docs.sparkSession
+    key = [F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("text").alias("_text")]
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(*key, F.char_length("text").alias("_n"))
+    by_lang = Window.partitionBy("_lang").orderBy(F.col("_n") > LONG, F.xxhash64("_id"), "_id", "_text")
+    # Spark keeps SAMPLE_DOCS rows of a language in each task before it shuffles them.
+    ranked = known.withColumn("_place", F.row_number().over(by_lang)).where(F.col("_place") <= SAMPLE_DOCS)
+    total = F.sum("_n").over(by_lang.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Written, so that Spark knows its size: SAMPLE_DOCS rows of a few numbers for a language.
+    chosen = stored(ranked.withColumn("_total", total).where((F.col("_total") <= SAMPLE_CHARS) | (F.col("_place") == 1)).drop("_n", "_total"), spark)
+    texts = stored(docs.select(*key, "text").join(chosen, ["_id", "_lang", "_text"]).select("_lang", "_place", "_id", "_text", "text"), spark)
+    names = sorted(r[0] for r in texts.select("_lang").distinct().collect())
+    samples = []
+    for at in range(0, len(names), AT_ONCE):
+        found: dict[str, dict[tuple, str]] = {}
+        for r in texts.where(F.col("_lang").isin(names[at : at + AT_ONCE])).toArrow().to_pylist():  # AT_ONCE times SAMPLE_CHARS characters
+            of = found.setdefault(r["_lang"], {})
+            same = (r["_id"], r["_text"])
+            of[same] = min(of.get(same, (r["_place"], r["text"])), (r["_place"], r["text"]))
+        part = {}
+        for x, rows in found.items():
+            raw, offsets = symbols(pa.array([t for _, t in sorted(rows.values())], pa.string()))
+            joined = np.concatenate([np.append(raw[a:b], 0) for a, b in zip(offsets[:-1], offsets[1:])]).astype(np.uint8)
+            if (joined != 0).any():
+                part[x] = joined
+        samples.append(build(part))
+    return [m for m in samples if m.languages] or [build({})]
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document. The score is 1 less the best entropy over the second best."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * SAMPLE_SYMBOLS states
-    schema = "doc_id bigint, held_out boolean, lang_pred string, score double"
+def _predictor(model: Model, rest: list[str]):
+    """Batches -> the columns `rest`, lettered, and for each row of text the best language with its entropy, sample size, and the second
+    best entropy (infinite if the model has one language)."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, "und"], dtype=object)
+        m = model.value
+        names = np.array([*m.languages, None], dtype=object)
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column("text")
-                lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
                 count, n = m.phrases(texts)
-                if not m.languages:
-                    best, score = np.zeros(len(n), dtype=int), np.zeros(len(n))
-                else:
-                    entropy = count * np.log2(m.sizes + 1) / np.maximum(n, 1)[:, None]
-                    best = np.argmin(entropy, axis=1)
-                    if len(m.languages) > 1:
-                        two = np.partition(entropy, 1, axis=1)
-                        score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-12)
-                    else:
-                        score = np.ones(len(n))
-                best = np.where(lettered & (len(m.languages) > 0), best, len(m.languages))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(np.where(lettered, np.clip(score, 0, 1), 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(predict, schema)
+                entropy = np.column_stack([count * np.log2(m.sizes + 1) / np.maximum(n, 1)[:, None], np.full((len(n), 2), np.inf)])
+                best = np.argmin(entropy, axis=1)
+                two = np.partition(entropy, 1, axis=1)
+                sizes = np.append(m.sizes, [0, 0])[best]
+                found = [pa.array(names[np.minimum(best, len(m.languages))], pa.string()), pa.array(two[:, 0]), pa.array(sizes, pa.int64()), pa.array(two[:, 1])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lettered, *found], names=[*rest, "lettered", "best", "entropy", "size", "second"])
+
+    return predict
+
+
+_PREDICTED = "lettered boolean, best string, entropy double, size bigint, second double"
+
+
+def predicted(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document. The score is 1 less the best entropy over the second best."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    shared = [spark.sparkContext.broadcast(m) for m in models]  # at most AT_ONCE automata of a sample's size each
+    if len(shared) == 1:
+        found = rows.mapInArrow(_predictor(shared[0], ["doc_id"]), f"doc_id bigint, {_PREDICTED}")
+    else:  # each pass gives the best two of its languages; equal rows have equal results
+        keyed = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+        parts = [stored(keyed.mapInArrow(_predictor(m, ["_id", "_text"]), f"_id bigint, _text bigint, {_PREDICTED}").distinct(), spark) for m in shared]
+        two = reduce(DataFrame.unionByName, parts).groupBy("_id", "_text").agg(F.first("lettered").alias("lettered"), F.sort_array(F.collect_list(F.struct("entropy", (-F.col("size")).alias("_s"), "best", "second"))).alias("_all"))
+        second = F.array_min(F.transform("_all", lambda x, i: F.when(i == 0, x["second"]).otherwise(x["entropy"])))
+        two = stored(two.select("_id", "_text", "lettered", F.get("_all", F.lit(0))["best"].alias("best"), F.get("_all", F.lit(0))["entropy"].alias("entropy"), second.alias("second")), spark)
+        found = rows.join(two, rows["doc_id"].eqNullSafe(two["_id"]) & (F.xxhash64(rows["text"]) == two["_text"]))
+    score = F.when(F.col("second") == float("inf"), 1.0).otherwise(1 - F.col("entropy") / F.greatest("second", F.lit(1e-12)))
+    told = F.col("lettered") & F.col("best").isNotNull()
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.when(told, F.col("best")).otherwise("und").alias("lang_pred"), F.when(told, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("score"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

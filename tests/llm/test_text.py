@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,9 @@ def naive_phrases(text, parts):
     return n
 
 
-def test_phrases_are_greedy_longest_matches():
+@pytest.mark.parametrize("block", [1, 3, 7, 1024])
+def test_phrases_are_greedy_longest_matches(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
     r = random.Random(7)
     parts = ["".join(r.choice("abc ") for _ in range(r.randint(1, 60))) for _ in range(6)]
     flat = np.concatenate([np.append(np.frombuffer(p.encode(), dtype=np.uint8), 0) for p in parts]).astype(np.uint8)
@@ -121,7 +125,42 @@ def test_languages(spark, make_docs, tiny):
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[None][0] != "und" and got[4][0] != "und"
     assert language_id.predicted(make_docs([]), model).count() == 0
     nothing = language_id.learn(make_docs([]))
-    assert [r["lang_pred"] for r in language_id.predicted(make_docs(["some text"]), nothing).collect()] == ["und"]
+    assert [tuple(r)[2:] for r in language_id.predicted(make_docs(["some text"]), nothing).collect()] == [("und", 0.0)]
+
+
+def brute_languages(samples, text):
+    """(language, score) by the definition."""
+    text = "".join(re.sub(r"[^a-z\x80-\uffff]+", " ", text.lower()))
+    found = []
+    for x, parts in samples.items():
+        size = sum(len(p) + 1 for p in parts)
+        found.append((naive_phrases(text, parts) * np.log2(size + 1) / len(text), -size, x))
+    found.sort()
+    return found[0][2], 1 - found[0][0] / found[1][0]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 8])
+def test_many_languages(spark, monkeypatch, at_once):
+    """Whole texts are learned, every language is, and the number of passes changes nothing."""
+    monkeypatch.setattr(language_id, "AT_ONCE", at_once)
+    r = random.Random(17)
+    letters = {x: r.sample("abcdefghijklmnop", 6) for x in ("aa", "bb", "cc", "dd", "ee")}
+    rows, samples = [], {x: [] for x in letters}
+    for i in range(60):
+        x = r.choice(list(letters))
+        text = "".join(r.choice(letters[x]) for _ in range(r.randint(30, 1500)))
+        rows.append((i, text, x))
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            samples[x].append(text)
+    rows += [rows[0], (rows[0][0], "other text of no language", None), (None, "abc", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 10**9)
+    got = [tuple(x) for x in language_id.predicted(docs, language_id.learn(docs)).collect()]
+    assert len(got) == len(rows)
+    want = [(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, *brute_languages(samples, t)) for i, t, _ in rows]
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], round(x[3], 9))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9
 
 
 def graded(r, n):
