@@ -3,10 +3,10 @@
 A page becomes a tree of block elements and text blocks. Each node has features of its subtree (text, links, density), its
 attribute tokens, depth, position and siblings; trees trained on generated pages (training_pages) give the probability that it
 holds main text. The decoding takes the most probable choice of nodes in which a dropped element keeps nothing inside it and
-a kept block has only kept ancestors. Kept blocks are joined in page order.
+a kept block has only kept ancestors; a nav element never holds main text. Kept blocks are joined in page order.
 
-A null or empty page has an empty text. Unclosed and stray tags, broken attributes and cut pages are read as far as they
-go. Repeated rows each get a row; columns other than page_id, url and html are passed by.
+A null or empty page has an empty text. Unclosed and stray tags and cut pages are read as far as they go; a quote after which no
+attribute can end is taken for a plain character, so its tag ends at the next `>`. Repeated rows each get a row; columns other than page_id, url and html are passed by.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_codes
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,14 +31,18 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no text of the page.
 SKIPPED = set("script style title textarea noscript template iframe svg math select object xmp head".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which no open element is closed by these.
+P_SCOPE = set("table caption td th button".split())
+SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 GROUPS = ["#text", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header", "footer", "aside", "article", "main", "section", "form fieldset button", "table tbody thead tr td th", "figure figcaption", "blockquote pre", "div", "body html"]
 NOISE = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus foot footer form head header hidden login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget complementary contentinfo search alert".split())
 MAIN = set("article articlebody body content entry main maincontent page post prose story text copy".split())
 
 GROUP_OF = {tag: i for i, g in enumerate(GROUPS) for tag in g.split()}
 OTHER = len(GROUPS)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+NAV = GROUP_OF["nav"]
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^<>])*+)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -49,7 +54,7 @@ MARK = "\ue000"
 
 @lru_cache(maxsize=4096)
 def attribute_flags(attributes: str) -> int:
-    """1: a token of NOISE, 2: a token of MAIN, 4: hidden."""
+    """1: a token of NOISE, 2: a token of MAIN, 4: hidden, 8: a name of nothing but tokens of NOISE."""
     flags = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -58,43 +63,55 @@ def attribute_flags(attributes: str) -> int:
         elif name in ("hidden", "aria-hidden"):
             flags |= 4 * (name == "hidden" or value == "true")
         else:
-            tokens = set(_TOKENS.findall(_CAMEL.sub(" ", value).lower()))
-            flags |= bool(tokens & NOISE) | 2 * bool(tokens & MAIN)
+            for one in value.split():
+                tokens = set(_TOKENS.findall(_CAMEL.sub(" ", one).lower()))
+                flags |= bool(tokens & NOISE) | 2 * bool(tokens & MAIN) | 8 * (bool(tokens) and tokens <= NOISE)
     return flags
 
 
 class Page:
     """The nodes of a page in order: lists of group, parent, depth, flags, end (one past the last node of the subtree), and block texts."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marks: bool = False):
+        """marks: MARK in the source stands for main text; else it is a character like any other."""
         self.group, self.parent, self.depth, self.flags, self.end = [], [], [], [], []
         self.texts: dict[int, str] = {}
         self.chars, self.links, self.words, self.stops = [], [], [], []
         self.marked: set[int] = set()
         self.add("body", -1, 0)
         stack: list[tuple[str, int]] = [("body", 0)]
+        opened: dict[str, int] = defaultdict(int)
         inside, held, linked, at = 0, [], 0, 0
 
         def flush() -> None:
             nonlocal linked
             if held:
                 text = "".join(held)
-                clean = text.replace(MARK, "")
-                clean = " ".join(clean.split())
+                clean = " ".join((text.replace(MARK, "") if marks else text).split())
                 if clean:
                     node = self.add("#text", stack[-1][1], 0)
                     self.texts[node] = clean
                     self.chars[node], self.links[node] = len(clean), min(linked, len(clean))
                     self.words[node], self.stops[node] = clean.count(" ") + 1, len(_STOPS.findall(clean))
-                    if MARK in text:
+                    if marks and MARK in text:
                         self.marked.add(node)
                 held.clear()
             linked = 0
 
         def pop() -> None:
-            _, node = stack.pop()
+            tag, node = stack.pop()
+            opened[tag] -= 1
             self.end[node] = len(self.group)
 
+        def close(tags: set[str], scope: set[str]) -> None:
+            """Ends the innermost open element of these names, unless one of `scope` is inside it."""
+            low = len(stack) - 1
+            while low > 0 and stack[low][0] not in tags and stack[low][0] not in scope:
+                low -= 1
+            if stack[low][0] in tags:
+                while len(stack) > low:
+                    pop()
+
         def say(text: str) -> None:
             nonlocal linked
             if text:
@@ -128,7 +145,7 @@ class Page:
             flush()
             inside = 0
             if m[1]:
-                if any(t == tag for t, _ in stack[1:]):
+                if opened[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
@@ -136,17 +153,11 @@ class Page:
             if tag in ("html", "body") or tag in VOID:
                 continue
             closes = CLOSED_BY.get(tag)
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack[-3:]):
-                while stack[-1][0] != "p":
-                    pop()
-                pop()
-            elif closes and any(t in closes for t, _ in stack[-4:]):
-                low = len(stack) - 1
-                while stack[low][0] not in closes and stack[low][0] not in ("ul", "ol", "table", "dl", "div"):
-                    low -= 1
-                if stack[low][0] in closes:
-                    while len(stack) > low:
-                        pop()
+            if tag in CLOSES_P and opened["p"]:
+                close({"p"}, P_SCOPE)
+            elif closes and any(opened[t] for t in closes):
+                close(closes, SCOPE.get(tag, {"table"}))
+            opened[tag] += 1
             stack.append((tag, self.add(tag, stack[-1][1], attribute_flags(m[3]) if m[3] else 0)))
         say(source[at:])
         flush()
@@ -181,19 +192,15 @@ def features(pages: list[Page]) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(x)])
         return sums[end] - sums[node]
 
-    def above(x: np.ndarray, steps: int = 12) -> np.ndarray:
+    def above(x: np.ndarray) -> np.ndarray:
         """Whether x holds for an ancestor (not the node itself)."""
-        out, up = np.zeros(len(x), dtype=bool), node
-        for _ in range(steps):
-            up = parent[up]
-            out |= x[up]
-        return out
+        return np.cumsum(np.bincount(node[x] + 1, minlength=len(x) + 1) - np.bincount(end[x], minlength=len(x) + 1))[:-1] > 0
 
     chars, links, words, stops = (subtree(column(c)) for c in ("chars", "links", "words", "stops"))
     is_text = group == 0
     blocks, kids = subtree(is_text.astype(np.int64)), end - node
     paragraphs = subtree((group == 1).astype(np.int64))
-    noise, main, hidden = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
+    noise, main, hidden, pure = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0, (flags & 8) > 0
     total = chars[first][page]
     before = np.concatenate([[0], np.cumsum(np.where(is_text, chars, 0))])
     offset = before[node] - before[first][page]
@@ -210,7 +217,7 @@ def features(pages: list[Page]) -> np.ndarray:
     up_group = [above(group == g) for g in (5, 6, 7, 8, 9, 10, 12, 4, 3)]
     columns = [
         *((group == g) for g in range(OTHER + 1)), depth, np.log1p(chars), np.log1p(words), links / one(chars, 1), stops / one(words, 1), words / one(blocks, 1), chars / kids, np.log1p(kids), np.log1p(blocks), np.log1p(paragraphs),
-        chars / one(total, 1), chars / one(chars[parent], 1), offset / one(total, 1), place, place / one(siblings, 1), same / one(siblings, 1), np.log1p(siblings), noise, main, hidden, above(noise), above(main), above(hidden), *up_group,
+        chars / one(total, 1), chars / one(chars[parent], 1), offset / one(total, 1), place, place / one(siblings, 1), same / one(siblings, 1), np.log1p(siblings), noise, main, hidden, pure, above(noise), above(main), above(hidden), above(pure), *up_group,
         *((group[parent] == g) for g in (1, 2, 4, 15, 16, 17)), noise[parent], main[parent], links[parent] / one(chars[parent], 1), np.log1p(chars[parent]), np.log1p(paragraphs[parent]), subtree((noise | hidden).astype(np.int64)) / kids,
     ]
     return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)
@@ -245,6 +252,11 @@ def training_pages(count: int, seed: int = 11) -> list[str]:
         return f"<{tag}{attribute}>{body}</{tag}>"
 
     def menu() -> str:
+        if r.random() < 0.15:  # prose in a menu is no main text either
+            body = "".join(f"<p>{words(5, 60)}</p>" for _ in range(r.randint(1, 3)))
+            for _ in range(r.randint(0, 3)):
+                body = f"<div>{body}</div>"
+            return f"<nav>{body}</nav>"
         return wrap(links() if r.random() < 0.7 else " | ".join(link() for _ in range(r.randint(3, 8))), "nav nav div", "nav menu navbar main-menu top-nav")
 
     def noise() -> str:
@@ -295,6 +307,12 @@ def training_pages(count: int, seed: int = 11) -> list[str]:
             out.insert(r.randint(0, len(out)), noise())
         body = "".join(out)
         kind = r.random()
+        # Names of main text may hold a word of menus or comments.
+        odd = f"{name('comment', 'header', 'sidebar', 'ad', 'menu', 'footer', 'related', 'cookie', 'newsletter')}-{name('policy', 'free', 'story', 'guide', 'less', 'review', 'facts')}"
+        if kind < 0.1:
+            return f"<article {name('class', 'id')}=\"{odd}\">{body}</article>"
+        if kind < 0.14:
+            return f"<{(t := name('div', 'section', 'main'))} class=\"{name(odd, 'content ' + odd, 'no-sidebar content', 'post has-comments')}\">{body}</{t}>"
         if kind < 0.5:
             return f"<article>{body}</article>"
         if kind < 0.62:
@@ -328,7 +346,7 @@ def training_pages(count: int, seed: int = 11) -> list[str]:
 @lru_cache(maxsize=1)
 def model(count: int = 360) -> trees.Trees:
     """Trees fitted on generated pages: a node is positive if its subtree has main text."""
-    pages = [Page(x) for x in training_pages(count)]
+    pages = [Page(x, marks=True) for x in training_pages(count)]
     y = []
     for p in pages:
         marks = np.zeros(len(p.group) + 1, dtype=np.int64)
@@ -347,7 +365,7 @@ def decode(page: Page, yes: list[float], no: list[float]) -> list[str]:
     parent = page.parent
     below_best, below_drop = [0.0] * (n + 1), [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
-        keep[i] = yes[i] + below_best[i]
+        keep[i] = yes[i] + below_best[i] if page.group[i] != NAV else float("-inf")
         drop[i] = no[i] + below_drop[i]
         best[i] = max(keep[i], drop[i])
         below_best[parent[i]] += best[i]

@@ -12,7 +12,7 @@ def test_generated_pages():
     got = html_extract.extract([p.replace(html_extract.MARK, "") for p in pages], model)
     exact = 0
     for source, text in zip(pages, got):
-        page = html_extract.Page(source)
+        page = html_extract.Page(source, marks=True)
         exact += text == " ".join(page.texts[i] for i in sorted(page.marked))
     assert exact >= 0.93 * len(pages)
 
@@ -28,6 +28,38 @@ def test_pages(source, text):
     assert html_extract.extract([source], html_extract.model()) == [text]
 
 
+PROSE = ["The council met on Tuesday to discuss the new bridge over the river.", "Several members asked how the work would be paid for, and by whom.", "A decision is expected in spring, after the engineers have reported."]
+P = "".join(f"<p>{x}</p>" for x in PROSE)
+ALL = " ".join(PROSE)
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<article><p>A private \ue000 character stays in its sentence, as it came.</p></article>", "A private \ue000 character stays in its sentence, as it came."),
+    (f'<article><p class="x>{PROSE[0]}</p><p class="y">{PROSE[1]}</p></article>', " ".join(PROSE[:2])),
+    (f"<article><p title='a > b' data-x=\"1 < 2\">{PROSE[0]}</p><p don't>{PROSE[1]}</p></article>", " ".join(PROSE[:2])),
+    *((f"<body>{'<div>' * k}<nav>{P}</nav>{'</div>' * k}<article>{P}</article></body>", ALL) for k in (0, 1, 5, 14)),
+    (f'<body><article class="comment-policy"><h1>How we moderate</h1>{P}</article><footer>About us</footer></body>', "How we moderate " + ALL),
+    (f'<body><article id="header-facts">{P}</article></body>', ALL),
+    (f'<!doctype html><html lang=en><head><meta charset=utf-8><title>T</title><style>p > a {{}}</style></head><body class="home has-sidebar"><div id="page"><header id="masthead"><a href="/">My blog</a></header>'
+     f'<nav id="site-navigation"><ul><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></nav><div id="primary"><main id="main"><article class="post"><header><h1>A new bridge</h1></header>{P}</article></main></div>'
+     '<aside id="secondary"><h3>Recent posts</h3><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></aside><div id="comments" class="comments-area"><ol><li class="comment"><p>Great post, thanks for writing it!</p></li></ol></div><footer id="colophon"><p>Proudly powered by a press</p></footer></div></body></html>', "A new bridge " + ALL),
+    (f'<body><div class="cookie-banner"><p>We use cookies to improve this site. <button>Accept</button></p></div><ul class="menu"><li><a href=a>Home</a><li><a href=b>News</a></ul><div class="content"><h1>A new bridge</h1>{P}</div><div class="ad">Buy two lamps now</div><div class="footer">&copy; 2024</div></body>', "A new bridge " + ALL),
+])
+def test_pages_by_hand(source, text):
+    assert html_extract.extract([source], html_extract.model()) == [text]
+
+
+def test_deep_nesting():
+    """What an element is inside of counts at any depth, and open elements are closed across any depth."""
+    page = html_extract.Page("<aside class=ad>" + "<div>" * 40 + "<p>one" + "<span>" * 3 + "<em>" + "<div>two</div>")
+    x = html_extract.features([page])
+    noise = [i for i in range(x.shape[1]) if x[-1, i] == 1 and x[1, i] == 0]
+    assert noise and page.group[-1] == 0 and [page.group[i] for i in page.texts] == [0, 0]
+    page = html_extract.Page("<ul><li>" + "<div>" * 9 + "one<li>two</ul>")
+    items = [i for i, g in enumerate(page.group) if g == html_extract.GROUP_OF["li"]]
+    assert len(items) == 2 and page.parent[items[0]] == page.parent[items[1]]
+
+
 def test_a_dropped_node_keeps_nothing_inside():
     page = html_extract.Page("<div><p>a</p><p>b</p></div><p>c</p>")
     n = len(page.group)
