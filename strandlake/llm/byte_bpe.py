@@ -2,8 +2,9 @@
 
 A text is cut into pieces by the vocabulary's pattern. Each new distinct piece of a partition becomes token-position rows;
 a recursive query joins neighbouring rows with the merge table and contracts every piece's leftmost pair of minimum rank
-until no pair is left. Ids and bytes come back by aggregations ordered by position. Results are kept for a bounded number of
-pieces, so common ones are encoded once a worker.
+until no pair is left. Ids come back by an aggregation ordered by position. Results are kept for a bounded number of
+pieces, so common ones are encoded once a worker. A document is decoded from its ids alone: they join the vocabulary, and an
+aggregation ordered by position joins their bytes.
 
 Nulls are empty texts: no ids, the hash of nothing. Repeated rows give repeated results; other columns are passed by.
 """
@@ -32,6 +33,8 @@ KEPT_PIECES = 500_000
 LONG_PIECE = 400
 #: New pieces in one recursive query.
 AT_ONCE = 40_000
+#: Tokens in one decoding query.
+TOKENS = 500_000
 #: Bytes of text that are encoded at once.
 PIECE = 3 << 20
 #: Seconds after which a worker without a task gives its coder up.
@@ -54,12 +57,19 @@ WITH RECURSIVE state AS (
     )
     WHERE best IS NULL OR NOT coalesce(before >> 16 = k >> 16 AND (before & 65535) = (best & 65535), false)
 )
-SELECT k >> 16 AS w, string_agg(t, ',' ORDER BY k) AS ids, string_agg(v.bytes, '' ORDER BY k) AS bytes
-FROM state JOIN vocabulary v ON v.rank = t
+SELECT k >> 16 AS w, string_agg(t, ',' ORDER BY k) AS ids
+FROM state
 WHERE NOT open
 GROUP BY w
 """
 
+DECODE = """
+SELECT doc, unhex(string_agg(v.bytes, '' ORDER BY place)) AS bytes
+FROM tokens JOIN vocabulary v ON v.rank = id
+GROUP BY doc
+ORDER BY doc
+"""
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -67,40 +77,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encodes and decodes pieces; one for each worker process and vocabulary."""
+    """Encodes and decodes; one for each worker process and vocabulary."""
 
     _made: dict[tuple[str, str], Coder] = {}
+    _lock = threading.Lock()
+    _users = 0
     _idle: threading.Timer | None = None
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
-        if cls._idle is not None:
-            cls._idle.cancel()
-        if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(path, pattern)
-        return cls._made[path, pattern]
+        """The coder, in use until `rest`."""
+        with cls._lock:
+            cls._users += 1
+            if cls._idle is not None:
+                cls._idle.cancel()
+            if (path, pattern) not in cls._made:
+                cls._made[path, pattern] = cls(path, pattern)
+            return cls._made[path, pattern]
 
     @classmethod
     def rest(cls) -> None:
         """After a task: if no other follows soon, the coders go, so that an idle worker doesn't hold memory that other stages need."""
-        if cls._idle is not None:
-            cls._idle.cancel()
-        cls._idle = threading.Timer(IDLE_SECONDS, cls.release)
-        cls._idle.daemon = True
-        cls._idle.start()
+        with cls._lock:
+            cls._users -= 1
+            if cls._idle is not None:
+                cls._idle.cancel()
+            cls._idle = threading.Timer(IDLE_SECONDS, cls.release)
+            cls._idle.daemon = True
+            cls._idle.start()
 
     @classmethod
     def release(cls) -> None:
-        for coder in cls._made.values():
-            coder.db.close()
-        cls._made.clear()
+        """A timer that fired while a task took the coder finds it in use."""
+        with cls._lock:
+            if cls._users:
+                return
+            for coder in cls._made.values():
+                coder.db.close()
+            cls._made.clear()
         gc.collect()
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.split = read_ranks(path), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         ranks = self.ranks
@@ -113,22 +133,15 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def keep(self, piece: str, own: bytes, ids: bytes, decoded: bytes) -> None:
-        """Decoded bytes are held only where they aren't the piece's own, which would be a fault of the vocabulary."""
-        self.known[piece] = ids
-        if decoded != own:
-            self.decoded[piece] = decoded
-
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces that aren't known yet, and decodes their ids."""
+        """Encodes pieces that aren't known yet."""
         rest = []
         for x in new:
             b = x.encode()
             if (r := self.ranks.get(b)) is not None:  # a piece that is a token is never cut
-                self.keep(x, b, b"%d" % r, b)
+                self.known[x] = b"%d" % r
             elif len(b) > LONG_PIECE:
-                ids = self.contract(b)
-                self.keep(x, b, b",".join(b"%d" % i for i in ids), b"".join(self.token(i) for i in ids))
+                self.known[x] = b",".join(b"%d" % i for i in self.contract(b))
             else:
                 rest.append((x, b))
         for at in range(0, len(rest), AT_ONCE):
@@ -139,13 +152,8 @@ class Coder:
             t = self.of_byte[np.frombuffer(b"".join(b for _, b in part), dtype=np.uint8)]
             self.load("start", pa.table({"k": k, "t": t}))
             found = self.db.sql(ENCODE).to_arrow_table()
-            for w, ids, decoded in zip(*(found.column(c).to_pylist() for c in ("w", "ids", "bytes"))):
-                self.keep(*part[w], ids.encode(), bytes.fromhex(decoded))
-
-    def token(self, rank: int) -> bytes:
-        if not hasattr(self, "tokens"):
-            self.tokens = {r: x for x, r in self.ranks.items()}
-        return self.tokens[rank]
+            for w, ids in zip(*(found.column(c).to_pylist() for c in ("w", "ids"))):
+                self.known[part[w][0]] = ids.encode()
 
     def contract(self, b: bytes) -> list[int]:
         """The same contraction for one long piece: a heap of (rank, place) over a linked list of parts."""
@@ -168,8 +176,8 @@ class Coder:
                 heapq.heappush(heap, (r, h, stop))
         return [ranks[b[i : end[i]]] for i in range(n) if alive[i]]
 
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids, joined by commas, and the bytes that they decode to."""
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids, joined by commas."""
         cut = [self.split(x) if x else [] for x in texts]
         distinct = set().union(*cut)
         if len(self.known) + len(distinct) > KEPT_PIECES:
@@ -178,9 +186,22 @@ class Coder:
         missing = [x for x in distinct if x not in known]
         known.update((x, older[x]) for x in missing if x in older)
         self.learn([x for x in missing if x not in older])
-        ids_of, odd = self.known.__getitem__, self.decoded
+        ids_of = self.known.__getitem__
         for x in cut:
-            yield b",".join(map(ids_of, x)), b"".join(odd.get(p) or p.encode() for p in x) if odd else "".join(x).encode()
+            yield b",".join(map(ids_of, x))
+
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids. A query takes so many tokens at most; a longer list is put together from several."""
+        out = [b""] * len(lists)
+        size = np.array([len(x) for x in lists], dtype=np.int64)
+        ids, doc = np.concatenate([*lists, np.zeros(0, dtype=np.int32)]), np.repeat(np.arange(len(lists)), size)
+        for at in range(0, len(ids), TOKENS):
+            part = slice(at, at + TOKENS)
+            self.load("tokens", pa.table({"doc": doc[part], "place": np.arange(len(ids[part])), "id": ids[part].astype(np.int64)}))
+            found = self.db.sql(DECODE).to_arrow_table()
+            for d, b in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist()):
+                out[d] += b
+        return out
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -197,9 +218,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             Coder.rest()
 
     def encode_part(coder: Coder, part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for ids, decoded in coder.documents(part.column("text").to_pylist()):
-            rows.append((ids.count(b",") + (ids != b""), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([np.fromstring(ids.decode(), dtype=np.int32, sep=",") if ids else []] if with_ids else [])))
+        texts = list(coder.encode(part.column("text").to_pylist()))
+        lists = [np.fromstring(x.decode(), dtype=np.int32, sep=",") if x else np.zeros(0, dtype=np.int32) for x in texts]
+        rows = [(len(ids), hashlib.sha256(x).hexdigest(), hashlib.sha256(decoded).hexdigest(), *[ids] * with_ids) for x, ids, decoded in zip(texts, lists, coder.decode(lists))]
         columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
         return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], names=[x.split()[0] for x in schema.split(", ")])
 

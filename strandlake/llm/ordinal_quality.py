@@ -5,7 +5,7 @@ presence of each hashed word, of the first 4, 5 and 6 bytes of each word, and of
 1 good but toxic, 2 good. A score has the expected grade and the tail probability P(grade >= 2), by which documents are kept.
 
 Null and empty texts have no words and are scored by their statistics; repeated rows each get a row; labels that
-conflict count as the worst. Without labels all documents get the same score and are kept.
+conflict count as the worst, and of rows that share a labelled id the least text is learned. Without labels all documents get the same score and are kept.
 """
 
 from __future__ import annotations
@@ -96,8 +96,22 @@ def strength(feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> np.ndar
     return most**POWER / (most**POWER + SIGMA**POWER)
 
 
+def link_loss(z: np.ndarray, theta: np.ndarray, grade: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log-likelihood, its slopes along z, its slopes along theta), where P(grade = k) = s(theta_k - z) - s(theta_(k-1) - z) and s is
+    the logistic function; theta beyond either end is infinite. share: weights of the rows."""
+    below = 1 / (1 + np.exp(np.clip(z[:, None] - theta[None, :], -40, 40)))
+    edges = np.column_stack([np.zeros(len(z)), below, np.ones(len(z))])
+    rows = np.arange(len(z))
+    low, high = edges[rows, grade], edges[rows, grade + 1]
+    p = np.maximum(high - low, 1e-12)
+    by_theta = np.zeros((len(z), len(theta) + 2))
+    by_theta[rows, grade + 1] = -share * high * (1 - high) / p
+    by_theta[rows, grade] += share * low * (1 - low) / p
+    return float(-(share * np.log(p)).sum()), share * (1 - low - high), by_theta[:, 1:-1].sum(axis=0)
+
+
 def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.15, ridge: float = 3e-4) -> Ordinal:
-    """Full-batch Adam on the mean negative log-likelihood; the gaps between thresholds are exponentials and so stay positive."""
+    """Full-batch Adam on the mean of link_loss with a ridge; the gaps between thresholds are exponentials and so stay positive."""
     w = np.zeros(WIDTH)
     cuts = np.array([-1.0, *np.zeros(GRADES - 2)])  # the first threshold, then logs of gaps
     if not len(grade):
@@ -110,17 +124,11 @@ def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int =
     col = place[feature]
     v = np.zeros(len(used))
     state = [np.zeros(len(used) + len(cuts)) for _ in range(2)]
-    levels = np.arange(GRADES - 1)
-    at_least = grade[:, None] > levels[None, :]
-    share = 1 / np.maximum(np.bincount(grade, minlength=GRADES), 1)[grade] * len(grade) / GRADES  # rare grades count as much
+    share = 1 / np.maximum(np.bincount(grade, minlength=GRADES), 1)[grade] / GRADES  # rare grades count as much
     for k in range(1, steps + 1):
-        theta = np.cumsum([cuts[0], *np.exp(cuts[1:])])
         z = np.bincount(row, (v * scale)[col], len(grade))
-        # Cumulative logits share w, so the sum of the binary likelihoods of grade > level is maximised with ordered thresholds.
-        p = 1 / (1 + np.exp(np.clip(theta[None, :] - z[:, None], -40, 40)))
-        slope = (p - at_least) * share[:, None] / len(grade)
-        gv = np.bincount(col, slope.sum(axis=1)[row], len(used)) * scale + ridge * v
-        gt = -slope.sum(axis=0)
+        _, slope, gt = link_loss(z, np.cumsum([cuts[0], *np.exp(cuts[1:])]), grade, share)
+        gv = np.bincount(col, slope[row], len(used)) * scale + ridge * v
         gc = np.array([gt.sum(), *(gt[j:].sum() * np.exp(cuts[j]) for j in range(1, len(cuts)))])
         g = np.concatenate([gv, gc])
         state[0] = 0.9 * state[0] + 0.1 * g
@@ -136,6 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Ordinal:
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` pairs of numbers are broadcast
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))  # one row an id
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

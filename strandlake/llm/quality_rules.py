@@ -94,11 +94,13 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, quality): the labelled documents of the smallest hashes of their ids, at most so many; conflicting labels count as bad."""
+    """(doc_id, text, quality): the labelled documents of the smallest hashes of their ids, at most so many; conflicting labels count as bad,
+    and of rows that share an id the least text is taken."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most `most` rows of two numbers: a bounded broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> trees.Trees:

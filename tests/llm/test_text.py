@@ -87,10 +87,34 @@ def test_bpe_generations(monkeypatch):
     coder = byte_bpe.Coder(RANKS, PATTERN)
     r = random.Random(1)
     texts = [sentence(r, 30) for _ in range(12)]
-    assert [d.decode() for t in texts for _, d in coder.documents([t])] == texts
+    ids = [[int(i) for i in x.split(b",")] for t in texts for x in coder.encode([t])]
+    assert [d.decode() for d in coder.decode([np.array(x) for x in ids])] == texts
     assert len(coder.known) + len(coder.older) < 250
 
 
+@pytest.mark.parametrize("tokens", [1, 7, 500_000])
+def test_bpe_decodes_ids(monkeypatch, tokens):
+    """From ids alone, also such as no text has, in however many queries."""
+    monkeypatch.setattr(byte_bpe, "TOKENS", tokens)
+    coder = byte_bpe.Coder(RANKS, PATTERN)
+    ranks, r = {v: k for k, v in byte_bpe.read_ranks(RANKS).items()}, random.Random(8)
+    lists = [[r.randrange(len(ranks)) for _ in range(n)] for n in (0, 1, 20, 0, 5)]
+    assert coder.decode([np.array(x, dtype=np.int32) for x in lists]) == [b"".join(ranks[i] for i in x) for x in lists]
+    assert coder.decode([]) == []
+
+
+def test_bpe_coder_in_use_is_not_closed():
+    coder = byte_bpe.Coder.of(RANKS, PATTERN)
+    byte_bpe.Coder.release()  # a timer that fires now
+    assert byte_bpe.Coder.of(RANKS, PATTERN) is coder and list(coder.encode(["some text"]))
+    byte_bpe.Coder.rest()
+    byte_bpe.Coder.release()
+    assert list(coder.encode(["other text"]))
+    byte_bpe.Coder.rest()
+    byte_bpe.Coder.release()
+    assert not byte_bpe.Coder._made
+
+
 def naive_phrases(text, parts):
     """Greedy longest matches of text in any of parts."""
     n = i = 0
@@ -176,6 +200,44 @@ def graded(r, n):
     return texts, labels
 
 
+def test_cumulative_link_likelihood():
+    """The loss by its definition, and its slopes by differences."""
+    r = np.random.Generator(np.random.PCG64(3))
+    z, theta, grade, share = r.normal(size=40), np.array([-0.7, 0.9]), r.integers(0, 3, 40), r.random(40)
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(z, theta):
+        cut = np.array([-np.inf, *theta, np.inf])
+        return -sum(w * np.log(s(cut[g + 1] - x) - s(cut[g] - x)) for x, g, w in zip(z, grade, share))
+
+    got, by_z, by_theta = ordinal_quality.link_loss(z, theta, grade, share)
+    assert abs(got - loss(z, theta)) < 1e-9
+    for slopes, at in ((by_z, 0), (by_theta, 1)):
+        for i in range(len(slopes)):
+            move = [np.zeros(40), np.zeros(2)]
+            move[at][i] = 1e-5
+            assert abs((loss(z + move[0], theta + move[1]) - loss(z - move[0], theta - move[1])) / 2e-5 - slopes[i]) < 1e-5
+
+
+def test_ordinal_scores_by_definition(spark, make_docs):
+    r = random.Random(19)
+    texts, labels = graded(r, 200)
+    model = ordinal_quality.learn(make_docs(texts), labels_of(spark, labels))
+    odd = odd_texts()
+    for x in ordinal_quality.scored(make_docs(odd), model).collect():
+        features, _ = ordinal_quality.hashed(pa.array([odd[x["doc_id"]]], pa.string()))
+        z = sum(model.weights[k] for k in set(features.tolist()))
+        tails = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert abs(x["tail_probability"] - tails[1]) < 1e-9 and abs(x["expected_grade"] - sum(tails)) < 1e-9 and x["kept"] == (tails[1] >= 0.5)
+
+
+def test_repeated_ids_do_not_lift_the_bound(spark, make_docs):
+    labels = labels_of(spark, [(i, 1, 0) for i in range(3)])
+    docs = make_docs([f"text {i}" for i in range(30)], [i % 3 for i in range(30)])
+    rows = quality_rules.training_sample(docs, labels, 2).collect()
+    assert len(rows) == 2 and all(r["text"] == min(f"text {i}" for i in range(30) if i % 3 == r["doc_id"]) for r in rows)
+
+
 def test_ordinal_grades(spark, make_docs):
     r = random.Random(9)
     texts, labels = graded(r, 400)
