@@ -9,7 +9,8 @@ derives it and the chunks from the threshold: 18 chunks of 7 symbols with radius
 Links are confirmed on the full shingle sets. Rows of equal sets are one class with one member in the index. In a
 key's bucket the members are first compared with the bucket's least member alone, its hub (a star). Then, for hubs whose
 spokes are in several components, the spokes outside the hub's component are compared with all of the hub's spokes in
-blocks of bounded size. A group of copies is never expanded into rows of pairs, and no link between components is missed.
+blocks of bounded size: first by their signatures, and those within the radius of a member of another component by their texts. A group of
+copies is never expanded into rows of pairs, and no link between components is missed.
 
 Null and empty texts, and texts without words, have empty sets, are linked with nothing and kept. A row without an id is linked with
 nothing. Rows that share an id are kept or dropped together. Other columns of the input are passed by.
@@ -27,7 +28,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from strandlake.llm.common import U64, mix, pieces, shingle_sets, stored, table, words_of
 from strandlake.llm.graph import components
@@ -237,24 +237,61 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
 
 
-def between_components(spokes: DataFrame, roots: DataFrame, sizes: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+def _near_blocks(batches: Iterator[pa.RecordBatch], of: Layout) -> Iterator[pa.RecordBatch]:
+    """Signatures sorted by hub, i, j -> the rows of each block that have a member of another component on the other side within the radius."""
+
+    def close(rows: pa.Table) -> pa.RecordBatch | None:
+        stray = rows.column("stray").to_numpy().astype(bool)
+        n, root = (rows.column(c).to_numpy() for c in ("n", "root"))
+        symbols = rows.column("chunks").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(n), of.chunks, 8)[:, :, : of.per_chunk].reshape(len(n), -1)
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        good = np.zeros(len(n), dtype=bool)
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            small, big = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
+            i, j = np.nonzero((100 * small >= of.percent * big) & (root[x][:, None] != root[right][None, :]))
+            near = np.count_nonzero(symbols[x[i]] != symbols[right[j]], axis=1) <= of.radius
+            good[x[i[near]]] = good[right[j[near]]] = True
+        return rows.filter(pa.array(good)).select(["hub", "i", "j", "stray", "id", "root"]).combine_chunks().to_batches()[0] if good.any() else None
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        hub, i, j = (batch.column(c).to_numpy() for c in ("hub", "i", "j"))
+        cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            block = (hub[a], i[a], j[a]) if b > a else now
+            if held and block != now:
+                if (found := close(pa.Table.from_batches(held))) is not None:
+                    yield found
+                held = []
+            now = block
+            held.append(batch.slice(a, b - a))
+    if held and (found := close(pa.Table.from_batches(held))) is not None:
+        yield found
+
+
+def between_components(spokes: DataFrame, roots: DataFrame, signed: DataFrame, bodies: DataFrame, of: Layout) -> DataFrame:
     """Links that the stars missed. Two members of a bucket are both spokes of its hub; so, for each hub whose spokes are in several
-    components, those outside the hub's component are compared with all, in blocks of bounded size. Few rows leave a block."""
+    components, those outside the hub's component are compared with all, in blocks of bounded size. Few rows leave a block.
+    signed: (id, n, chunks)."""
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("_r"))
     s = spokes.select(F.col("u").alias("id"), F.col("v").alias("hub"))
     s = s.join(known, "id", "left").withColumn("root", F.coalesce("_r", "id")).drop("_r")
     s = s.join(known.select(F.col("id").alias("hub"), F.col("_r").alias("_h")), "hub", "left").withColumn("outside", F.col("root") != F.coalesce("_h", "hub")).drop("_h")
-    s = s.join(sizes, "id")
+    s = s.join(signed, "id")
     per = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
     outside = F.when(F.col("outside"), F.col("n"))
     hubs = s.groupBy("hub").agg(per(F.count(outside), F.sum(outside)).alias("ni"), per(F.count("n"), F.sum("n")).alias("nj"), F.count(outside).alias("strays"), F.count("n").alias("all"))
     # One member alone has nobody but the hub, with which it was compared. The hubs are written, so that Spark can split a hub's rows in the join.
     hubs = stored(hubs.where("strays > 0 and all > 1").select("hub", "ni", "nj"), spokes.sparkSession)
-    s = s.join(hubs, "hub").join(bodies, "id")
-    at = F.xxhash64("id")
-    left = s.where("outside").select("hub", F.pmod(at, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("stray"), "id", "root", "body")
-    right = s.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("stray"), "id", "root", "body")
-    return left.union(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_compare_blocks, percent=percent), "u bigint, v bigint")
+    s = s.join(hubs, "hub")
+    at, rest = F.xxhash64("id"), ["id", "root", "n", "chunks"]
+    left = s.where("outside").select("hub", F.pmod(at, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("stray"), *rest)
+    right = s.select("hub", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("stray"), *rest)
+    dealt = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    near = stored(dealt(left.union(right)).mapInArrow(partial(_near_blocks, of=of), "hub bigint, i int, j int, stray boolean, id bigint, root bigint"), spokes.sparkSession)
+    return dealt(near.join(bodies, "id")).mapInArrow(partial(_compare_blocks, percent=of.percent), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = PERCENT) -> DataFrame:
@@ -264,17 +301,18 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = PERCENT
     sketch = stored(sketches(docs, of), spark)
     same = ["n", "set_a", "set_b"]
     classes = stored(sketch.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("chunks").alias("chunks")), spark)
-    # Every member of a bucket but the least, with that least member, its hub.
-    by_key = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spokes = index_rows(classes, of).select(F.col("rep").alias("u"), F.first("rep").over(by_key).alias("v")).where("u <> v").distinct()
-    spokes = stored(spokes, spark)
+    # Every member of a bucket but the least, with that least member, its hub. Minima are pre-aggregated and written before they are joined
+    # back, so that Spark can split the rows of a bucket with very many members.
+    index = index_rows(classes, of)
+    hubs = stored(index.groupBy("key").agg(F.min("rep").alias("v"), F.count("rep").alias("_n")).where("_n > 1").select("key", "v"), spark)
+    spokes = stored(index.withColumnRenamed("rep", "u").join(hubs, "key").where("u <> v").select("u", "v").distinct(), spark)
 
     signed = classes.select("rep", "n", "chunks")
-    bodies = docs.select("doc_id", "text").mapInArrow(_packed, "id bigint, body binary")
+    bodies = stored(docs.select("doc_id", "text").mapInArrow(_packed, "id bigint, body binary"), spark)
     near = spokes.join(signed.alias("a"), F.col("u") == F.col("a.rep")).join(signed.alias("b"), F.col("v") == F.col("b.rep")).where(within_radius(of)).select("u", "v")
     links = stored(confirmed(near, bodies, percent), spark)
     roots = components(links, spark)
-    more = stored(between_components(spokes, roots, classes.select(F.col("rep").alias("id"), "n"), bodies, percent), spark)
+    more = stored(between_components(spokes, roots, signed.withColumnRenamed("rep", "id"), bodies, of), spark)
     if not more.isEmpty():
         roots = components(links.union(more), spark)
 
