@@ -10,8 +10,8 @@ anchor deals the reference out in shards, and documents' passages meet the autom
 than SHARD_CONTEXTS contexts (the edge of a passage that very many documents share) is beyond one task: its windows are dealt
 one by one by their hashes instead, after each task has kept the earliest of those that are equal.
 
-Null and empty texts have no words. A null id is the smallest id. Rows that share id and text count as one text; other columns
-are passed by.
+Null and empty texts have no words. Rows without an id come before all others, in the order of a hash of their texts, and so do rows that
+share an id but not the text. Rows that share id and text count as one text, with a row each; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ LEFT = WINDOW - GRAM
 #: Contexts of an anchor in one automaton at most.
 SHARD_CONTEXTS = 1000
 
-WHOLE, BOUNDARY = 1, 2
 #: Rows that meet: a context; the hash of one window of an anchor with too many contexts; a window that is known to have occurred earlier.
 CONTEXT, SINGLE, KNOWN = 0, 1, 2
 
@@ -56,7 +55,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, pos = doc[order], pos[order]
             first = cls | _same_place(doc, pos)
             key = np.where(first, gram[at][order].view(np.int64), anchors.spread_key(doc, pos))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context[order].view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(~first)], names=["fp", "context", "doc_id", "pos", "decided"])
+            kind = np.where(first, anchors.ALONE, anchors.COVERED).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context[order].view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(kind)], names=["fp", "context", "doc_id", "pos", "kind"])
 
 
 def _same_place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -65,21 +65,6 @@ def _same_place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return same
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of anchors, dealt by fp: later occurrences are WHOLE, first ones beside other contexts BOUNDARY."""
-    fp, context, doc, pos, decided = anchors.gathered(batches, ["fp", "context", "doc_id", "pos", "decided"])
-    decided = decided.astype(bool)
-    yield pa.RecordBatch.from_arrays([pa.array(fp[decided], pa.int64()), pa.array(doc[decided], pa.int64()), pa.array(pos[decided], pa.int32()), pa.array(np.full(decided.sum(), WHOLE), pa.int8())], names=["fp", "doc_id", "pos", "kind"])
-    fp, context, doc, pos = fp[~decided], context[~decided], doc[~decided], pos[~decided]
-    order, group, cls = anchors.combine(fp, context, doc, pos)
-    fp, doc, pos = fp[order], doc[order], pos[order]
-    classes = np.bincount(np.cumsum(group) - 1, cls) if len(fp) else np.zeros(0)
-    again = ~cls & _same_place(doc, pos)
-    kind = np.where(cls, np.where(classes[np.cumsum(group) - 1] > 1, BOUNDARY, 0), np.where(again, 0, WHOLE)) if len(fp) else np.zeros(0, dtype=int)
-    out = kind > 0
-    yield pa.RecordBatch.from_arrays([pa.array(fp[out], pa.int64()), pa.array(doc[out], pa.int64()), pa.array(pos[out], pa.int32()), pa.array(kind[out], pa.int8())], names=["fp", "doc_id", "pos", "kind"])
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their boundary anchors -> (fp, doc_id, start, kind, body): each context's words, or its windows one by one."""
     names = ["fp", "doc_id", "start", "kind", "body"]
@@ -94,9 +79,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(part.num_rows), size)
             pos, fp, hot = at.field("pos").to_numpy().astype(np.int64), at.field("fp").to_numpy(), at.field("hot").to_numpy(zero_copy_only=False)
             first, last = w.first[:-1][row], w.first[1:][row]
-            # An id may be shared by other texts; places beyond this text are theirs.
-            ok = pos + first < last
-            pos, fp, hot, first, last, row = (x[ok] for x in (pos, fp, hot, first, last, row))
             low, high = np.maximum(first + pos - LEFT, first), np.minimum(first + pos + WINDOW, last)
             raw = w.raw.tobytes()
             cold = ~hot
@@ -256,7 +238,7 @@ def _apply(with_text: bool):
                 for i in range(part.num_rows):
                     counts.append(int(n[i]) - (cuts[i + 1] - cuts[i]))
                     texts.append(b" ".join(pieces_kept[cuts[i] : cuts[i + 1]]))
-                columns = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+                columns = [part.column("id"), pa.array(n.astype(np.int64)), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array([t.decode() for t in texts])] if with_text else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text])
 
     return apply
@@ -264,20 +246,18 @@ def _apply(with_text: bool):
 
 def without_earlier_windows(docs: DataFrame, spark: SparkSession, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each document; with_text adds the words that stay, joined by spaces."""
-    docs = anchors.no_null_id(docs)
-    rows = docs.mapInArrow(_anchor_rows, "fp bigint, context bigint, doc_id bigint, pos int, decided boolean")
-    hits = stored(rows.repartition("fp").mapInArrow(_decide, "fp bigint, doc_id bigint, pos int, kind tinyint"), spark)
+    docs = anchors.keyed(docs, spark)
+    hits = stored(anchors.decided(docs.select("doc_id", "text").mapInArrow(_anchor_rows, anchors.ROWS), first_too=False), spark)
     packed = anchors.bodies(docs)
-    edges = hits.where(F.col("kind") == BOUNDARY).select("doc_id", "pos", "fp")
+    edges = hits.where(F.col("kind") == anchors.EDGE).select("doc_id", "pos", "fp")
     places = anchors.with_hot(edges, SHARD_CONTEXTS).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp", "hot")).alias("at"))
-    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, start int, kind tinyint, body binary")
+    contexts = packed.join(places, "doc_id").select("doc_id", "body", "at").mapInArrow(_contexts, "fp bigint, doc_id bigint, start int, kind tinyint, body binary")
     matched = contexts.repartition("fp").sortWithinPartitions("kind", "fp", "doc_id", "start").mapInArrow(_match, "doc_id bigint, low int, high int")
-    whole = hits.where(F.col("kind") == WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high"))
+    whole = hits.where(F.col("kind") == anchors.WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high"))
     # As many spans as the document has anchors and windows at most.
     spans = whole.union(matched).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     full = packed.join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<low: int, high: int>>)")))
-    out = full.select("doc_id", "body", "spans").mapInArrow(_apply(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text)
-    return out.withColumn("doc_id", anchors.null_id_again(F.col("doc_id")))
+    return full.select("id", "body", "spans").mapInArrow(_apply(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,24 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts elsewhere in the corpus.
 
-Suffixes are sampled at the anchors of anchors.py, which any repeated 200-byte string has at equal places, and dealt by the
-64 bytes at their head. In each range the index is a logarithmic family: a new batch of suffixes is sorted into a
-suffix array (by head, then by the whole context), merge-scanned against every level for matches, and levels of like size are
-merged. A suffix whose whole context occurs again is covered whole. Suffixes that share a head but not the
+Suffixes are sampled at the anchors of anchors.py, which any repeated 200-byte string has at equal places, and sorted by hashes of
+the 64 bytes at their head and of their whole context, in place of their texts (see the README). One scan of the sorted suffixes settles
+those whose whole context occurs again: they are covered whole. Suffixes that share a head but not the
 context are compared byte by byte: of their contexts, every 200-byte string around the anchor is looked up among the others. A head with
 more than GROUP contexts (the edge of a passage that very many documents share) is beyond one task: its 200-byte strings are
 dealt one by one by their hashes instead, after each task has settled those that are equal.
 
-Bytes are judged on the input. Null and empty texts have none. A null id is the smallest id. Rows that share an id must not differ
-in text; equal rows then count as one text. Other columns are passed by.
+IndexFamily keeps the sorted suffixes of earlier batches in levels: a new batch is sorted and scanned with them, and levels of
+like size are merged. The query is its first batch: all documents at once.
+
+Bytes are judged on the input. Null and empty texts have none. Rows that share id and text count as one text, with a row each; rows without an id, or
+of an id with several texts, are told apart by their texts. Other columns are passed by.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import anchors
-from strandlake.llm.common import ORDER_CODE, U64, loads, mix, pieces, spans_hash, stored, table, text_buffer
+from strandlake.llm.common import ORDER_CODE, U64, loads, mix, pieces, shared_dir, spans_hash, stored, table, text_buffer
 
 WINDOW, GRAM = 200, 64
 LEFT = WINDOW - GRAM
-#: Suffixes in a batch of the index family, at least (but for the last).
-BATCH = 50_000
 PIECE = 1 << 20
 
-#: What a row of suffixes says: a suffix alone; one that has a copy, which other rows have told of already; one whose copies stayed behind.
-ALONE, COVERED, COPIED = 0, 1, 2
 #: Suffixes that share a head and are compared in one task at most.
 GROUP = 1000
 #: Rows that meet: a context; the hash of one window of a head with too many contexts, alone or with copies in its batch; a window with copies.
 CONTEXT, WINDOW_ALONE, WINDOW_COPIED, WINDOW_KNOWN = 0, 1, 2, 3
-#: What is decided: its context is covered whole; its context is to be compared.
-WHOLE, COMPARE = 1, 2
 
 
 def doubled(h: np.ndarray, width: int, level: int) -> np.ndarray:
@@ -85,9 +81,9 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fp, context, doc, pos = gram[at][order], context[order], doc[order], pos[order]
             which = np.cumsum(cls) - 1
             places = np.bincount(which, ~_same_place(doc, pos) | cls) if len(fp) else np.zeros(0)
-            kind = np.where(cls, np.where(places[which] > 1, COPIED, ALONE), COVERED) if len(fp) else np.zeros(0, dtype=int)
+            kind = np.where(cls, np.where(places[which] > 1, anchors.COPIED, anchors.ALONE), anchors.COVERED) if len(fp) else np.zeros(0, dtype=int)
             keep = cls | (places[which] > 1) if len(fp) else np.zeros(0, dtype=bool)
-            key = np.where(kind == COVERED, anchors.spread_key(doc, pos), fp.view(np.int64))
+            key = np.where(kind == anchors.COVERED, anchors.spread_key(doc, pos), fp.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(context.view(np.int64)[keep]), pa.array(doc[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(kind[keep].astype(np.int8))], names=["fp", "context", "doc_id", "pos", "kind"])
 
 
@@ -97,107 +93,6 @@ def _same_place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return same
 
 
-@dataclass
-class SuffixArray:
-    """Suffixes in the order of their heads and contexts, one for each context."""
-
-    fp: np.ndarray
-    context: np.ndarray
-    doc: np.ndarray
-    pos: np.ndarray
-    copied: np.ndarray
-    paired: np.ndarray
-
-    def __len__(self) -> int:
-        return len(self.fp)
-
-    def take(self, at: np.ndarray) -> SuffixArray:
-        return SuffixArray(*(x[at] for x in vars(self).values()))
-
-    def merged(self, other: SuffixArray) -> SuffixArray:
-        both = SuffixArray(*(np.concatenate(x) for x in zip(vars(self).values(), vars(other).values())))
-        return both.take(np.lexsort((both.context, both.fp)))
-
-
-class IndexFamily:
-    """Levels of suffix arrays; add() returns (doc, pos) of the suffixes of the batch that repeat an earlier context."""
-
-    def __init__(self) -> None:
-        self.levels: list[SuffixArray] = []
-
-    def add(self, fp, context, doc, pos, copied) -> tuple[np.ndarray, np.ndarray]:
-        order, group, cls = anchors.combine(fp, context, doc, pos)
-        new = SuffixArray(fp[order], context[order], doc[order], pos[order], copied[order], np.zeros(len(order), dtype=bool))
-        which = np.cumsum(cls) - 1
-        first = np.flatnonzero(cls)
-        real = ~(_same_place(new.doc, new.pos) & ~cls)  # rows of the same place are one
-        new.copied = (np.bincount(which, new.copied)[which] > 0) | (np.bincount(which, real)[which] > 1)
-        repeats = np.flatnonzero(~cls & real)
-        out = [(new.doc[repeats], new.pos[repeats])]
-        classes = np.bincount(np.cumsum(group) - 1, cls)
-        new.paired = (classes > 1)[np.cumsum(group) - 1]
-        new = new.take(first)
-        for level in self.levels:
-            known = self.scan(level, new)
-            out.append((new.doc[known], new.pos[known]))
-            new = new.take(~known)
-        self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    @staticmethod
-    def scan(level: SuffixArray, new: SuffixArray) -> np.ndarray:
-        """Notes in both arrays what they share; returns which of new's contexts the level has."""
-        known = np.zeros(len(new), dtype=bool)
-        if not len(level) or not len(new):
-            return known
-        low, high = np.searchsorted(level.fp, new.fp, side="left"), np.searchsorted(level.fp, new.fp, side="right")
-        mine = np.flatnonzero(high > low)
-        if not len(mine):
-            return known
-        theirs = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(*np.unique(np.stack([low[mine], high[mine]]), axis=1))]))
-        order, group, cls = anchors.combine(np.concatenate([level.fp[theirs], new.fp[mine]]), np.concatenate([level.context[theirs], new.context[mine]]), np.concatenate([np.zeros(len(theirs), dtype=np.int64), np.ones(len(mine), dtype=np.int64)]), np.zeros(len(theirs) + len(mine), dtype=np.int64))
-        of_group, of_class = np.cumsum(group) - 1, np.cumsum(cls) - 1
-        paired = (np.bincount(of_group, cls) > 1)[of_group]
-        shared = (np.bincount(of_class) > 1)[of_class]
-        flags = np.zeros((2, len(order)), dtype=bool)
-        flags[0, order], flags[1, order] = paired, shared
-        level.paired[theirs] |= flags[0, : len(theirs)]
-        level.copied[theirs] |= flags[1, : len(theirs)]
-        new.paired[mine] |= flags[0, len(theirs) :]
-        known[mine] = flags[1, len(theirs) :]
-        return known
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family, names = IndexFamily(), ["fp", "doc_id", "pos", "kind"]
-
-    def rows(fp, doc, pos, kind) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.full(len(doc), kind), pa.int8())], names=names)
-
-    def add(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, context, doc, pos, kind = anchors.gathered(iter(held), ["fp", "context", "doc_id", "pos", "kind"])
-        done = kind == COVERED
-        yield rows(fp[done], doc[done], pos[done], WHOLE)
-        if not done.all():
-            more = family.add(fp[~done], context[~done], doc[~done], pos[~done], kind[~done] == COPIED)
-            yield rows(np.zeros(len(more[0]), dtype=np.int64), *more, WHOLE)
-
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= BATCH:
-            yield from add(held)
-            held, size = [], 0
-    if held:
-        yield from add(held)
-    for level in family.levels:
-        yield rows(level.fp[level.copied], level.doc[level.copied], level.pos[level.copied], WHOLE)
-        yield rows(level.fp[level.paired], level.doc[level.paired], level.pos[level.paired], COMPARE)
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with anchors to compare -> (fp, doc_id, pos, before, kind, body): the bytes of each context, `before` of them before the
     anchor, or each 200-byte string of it by its hash, with its start as pos."""
@@ -211,8 +106,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
             at = lists.flatten()
             pos, fp, hot = at.field("pos").to_numpy().astype(np.int64), at.field("fp").to_numpy(), at.field("hot").to_numpy(zero_copy_only=False)
-            ok = pos + offsets[row] < offsets[row + 1]
-            pos, fp, hot, row = pos[ok], fp[ok], hot[ok], row[ok]
             place = pos + offsets[row]
             low, high = np.maximum(place - LEFT, offsets[row]), np.minimum(place + WINDOW, offsets[row + 1])
             whole, cold = raw.tobytes(), ~hot
@@ -274,6 +167,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["doc_id", "low", "high"])
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
+        fp, doc, pos = (rows.column(c).to_numpy() for c in ("fp", "doc_id", "pos"))
+        again = np.concatenate([[False], (fp[1:] == fp[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])])  # equal rows are one text
+        rows = rows.filter(pa.array(~again))
         raw, offsets = text_buffer(rows.column("body").combine_chunks().cast(pa.large_binary()))
         found, most, least = compare(rows.column("fp").to_numpy(), rows.column("before").to_numpy().astype(np.int64), raw, offsets)
         pos = rows.column("pos").to_numpy().astype(np.int64)
@@ -345,29 +241,68 @@ def _apply(with_bytes: bool):
                 removed, runs, kept = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(starts)]), raw[~gone].tobytes()
                 at = offsets - removed[offsets]
                 bodies = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                columns = [part.column("doc_id"), pa.array(n), pa.array(np.diff(removed[offsets]), pa.int64()), pa.array(np.diff(runs[offsets]), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())]
+                columns = [part.column("id"), pa.array(n), pa.array(np.diff(removed[offsets]), pa.int64()), pa.array(np.diff(runs[offsets]), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(bodies, pa.binary())] if with_bytes else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes])
 
     return apply
 
 
+def _spans(rows: DataFrame, packed: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, low, high) of what repeats among suffix rows of texts that `packed` has."""
+    hits = stored(anchors.decided(rows, first_too=True), spark)
+    edges = hits.where(F.col("kind") == anchors.EDGE).select("doc_id", "pos", "fp")
+    places = anchors.with_hot(edges, GROUP).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp", "hot")).alias("at"))
+    contexts = packed.join(places, "doc_id").select("doc_id", "body", "at").mapInArrow(_contexts, "fp bigint, doc_id bigint, pos int, before int, kind tinyint, body binary")
+    order = F.when(F.col("kind") == CONTEXT, 0).otherwise(1)
+    compared = contexts.repartition("fp").sortWithinPartitions(order, "fp", F.desc("kind"), "doc_id", "pos").mapInArrow(_compare, "doc_id bigint, low int, high int")
+    return hits.where(F.col("kind") == anchors.WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high")).union(compared)
+
+
 def without_repeated_strings(docs: DataFrame, spark: SparkSession, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_bytes adds the bytes that stay."""
-    docs = anchors.no_null_id(docs)
-    rows = docs.mapInArrow(_suffix_rows, "fp bigint, context bigint, doc_id bigint, pos int, kind tinyint")
-    hits = stored(rows.repartition("fp").mapInArrow(_decide, "fp bigint, doc_id bigint, pos int, kind tinyint"), spark)
+    docs = anchors.keyed(docs, spark)
     packed = anchors.bodies(docs)
-    edges = hits.where(F.col("kind") == COMPARE).select("doc_id", "pos", "fp")
-    places = anchors.with_hot(edges, GROUP).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp", "hot")).alias("at"))
-    contexts = packed.join(places, "doc_id").mapInArrow(_contexts, "fp bigint, doc_id bigint, pos int, before int, kind tinyint, body binary")
-    order = F.when(F.col("kind") == CONTEXT, 0).otherwise(1)
-    compared = contexts.repartition("fp").sortWithinPartitions(order, "fp", F.desc("kind")).mapInArrow(_compare, "doc_id bigint, low int, high int")
-    whole = hits.where(F.col("kind") == WHOLE).select("doc_id", (F.col("pos") - LEFT).alias("low"), (F.col("pos") + WINDOW).alias("high"))
     # As many spans as the document has anchors at most.
-    spans = whole.union(compared).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = _spans(docs.select("doc_id", "text").mapInArrow(_suffix_rows, anchors.ROWS), packed, spark).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     full = packed.join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<low: int, high: int>>)")))
-    out = full.select("doc_id", "body", "spans").mapInArrow(_apply(with_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
-    return out.withColumn("doc_id", anchors.null_id_again(F.col("doc_id")))
+    return full.select("id", "body", "spans").mapInArrow(_apply(with_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
+
+
+class IndexFamily:
+    """Levels of suffixes of earlier batches in a folder that driver and executors share. A new batch's suffixes are sorted in with those of all levels
+    and scanned for what repeats; then they are a level of their own, and levels of like size are merged into one sorted level."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/strandlake/family-{uuid.uuid4().hex}"
+        #: (folder, suffixes) of each level, the oldest and largest first.
+        self.levels: list[tuple[str, int]] = []
+
+    def _write(self, rows: DataFrame, packed: DataFrame) -> tuple[str, int]:
+        at = f"{self.path}/{uuid.uuid4().hex}"
+        rows.repartitionByRange("fp", "context").sortWithinPartitions("fp", "context", "doc_id", "pos").write.parquet(f"{at}/suffixes")
+        packed.write.parquet(f"{at}/texts")
+        return at, self.spark.read.parquet(f"{at}/suffixes").count()
+
+    def _read(self, at: str) -> tuple[DataFrame, DataFrame]:
+        return self.spark.read.schema(anchors.ROWS).parquet(f"{at}/suffixes"), self.spark.read.schema("doc_id bigint, id bigint, body binary").parquet(f"{at}/texts")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, low, high): bytes of the batch's and of earlier documents that repeat, now that the batch is there. Ids must not repeat
+        between batches, nor be null."""
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("id"), "text")
+        new = self._write(docs.select("doc_id", "text").mapInArrow(_suffix_rows, anchors.ROWS), anchors.bodies(docs))
+        rows, packed = self._read(new[0])
+        heads = stored(rows.where(F.col("kind") != anchors.COVERED).select("fp").distinct(), self.spark)
+        for at, _ in self.levels:
+            older, texts = self._read(at)
+            rows = rows.unionByName(older.where(F.col("kind") != anchors.COVERED).join(heads, "fp", "left_semi"))
+            packed = packed.unionByName(texts)
+        found = stored(_spans(rows, packed, self.spark), self.spark)
+        self.levels.append(new)
+        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
+            (a, b), (c, d) = self._read(self.levels[-2][0]), self._read(self.levels[-1][0])
+            self.levels[-2:] = [self._write(a.unionByName(c), b.unionByName(d))]
+        return found
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import random
+from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from brute import near_components, without_strings, without_windows
 from conftest import WORDS, odd_texts, sentence
 
-from strandlake.llm import common, near_dedup, quality_rules, substring_dedup, suffix_dedup
+from strandlake.llm import anchors, common, near_dedup, quality_rules, substring_dedup, suffix_dedup
 from strandlake.llm.graph import components
 
 
@@ -85,9 +87,8 @@ def test_components(spark):
     assert {n: got.get(n, n) for e in edges for n in e} == {n: find(n) for e in edges for n in e}
 
 
-@pytest.mark.parametrize("batch,group", [(40, 1000), (50_000, 3)])
-def test_repeated_strings(spark, make_docs, monkeypatch, batch, group):
-    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+@pytest.mark.parametrize("group", [1000, 3])
+def test_repeated_strings(spark, make_docs, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     r = random.Random(8)
     passage = sentence(r, 40)
@@ -103,27 +104,67 @@ def test_repeated_strings_without_rows_or_ids(spark, make_docs):
     assert {r["doc_id"]: len(r["kept"]) for r in got} == {None: 30, 1: 0}
 
 
-def test_index_family():
-    """Levels shrink geometrically and every repeated context is told of, whatever the batches."""
-    import numpy as np
-
+def test_scan_of_sorted_rows():
+    """Whatever batches the rows come in, against sets."""
     r = np.random.default_rng(3)
-    fp, context = r.integers(0, 300, 2000), r.integers(0, 3, 2000)
-    doc, pos = np.arange(2000), np.zeros(2000, dtype=np.int64)
-    family, repeats = suffix_dedup.IndexFamily(), []
-    for a in range(0, 2000, 130):
-        repeats += family.add(fp[a : a + 130], context[a : a + 130], doc[a : a + 130], pos[a : a + 130], np.zeros(len(fp[a : a + 130]), dtype=bool))[0].tolist()
-    sizes = [len(x) for x in family.levels]
-    assert all(x > 2 * y for x, y in zip(sizes, sizes[1:]))
-    pairs = list(zip(fp.tolist(), context.tolist()))
-    many = {p for p in pairs if pairs.count(p) > 1}
-    told = set(repeats) | {int(d) for x in family.levels for d in x.doc[x.copied]}
-    assert told == {i for i, p in enumerate(pairs) if p in many}
-    contexts = {}
-    for f, c in pairs:
-        contexts.setdefault(f, set()).add(c)
-    for x in family.levels:
-        assert all(bool(p) == (len(contexts[int(f)]) > 1) for f, p in zip(x.fp, x.paired))
+    n = 1500
+    fp, context, doc, pos = r.integers(0, 200, n), r.integers(0, 3, n), r.integers(0, 60, n), r.integers(0, 20, n)
+    copied = r.random(n) < 0.1
+    order = np.lexsort((pos, doc, context, fp))
+    fp, context, doc, pos, copied = (x[order] for x in (fp, context, doc, pos, copied))
+    rows = pa.RecordBatch.from_arrays([pa.array(fp), pa.array(context), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array((copied * anchors.COPIED).astype(np.int8))], names=["fp", "context", "doc_id", "pos", "kind"])
+    places, marked = {}, set()
+    for f, c, d, p, k in zip(*(x.tolist() for x in (fp, context, doc, pos, copied))):
+        places.setdefault((f, c), []).append((d, p))
+        if k:
+            marked.add((f, c))
+    runs = Counter(f for f, _ in places)
+    for first_too in (False, True):
+        whole = Counter((f, *x) for (f, c), v in places.items() for x in (sorted(set(v)) if first_too and (len(set(v)) > 1 or (f, c) in marked) else sorted(set(v))[1:]))
+        edge = Counter((f, *min(v)) for (f, c), v in places.items() if runs[f] > 1)
+        for size in (1, 7, 100, n):
+            got = [(x["kind"], (x["fp"], x["doc_id"], x["pos"])) for b in anchors.scan((rows.slice(a, size) for a in range(0, n, size)), first_too) for x in b.to_pylist()]
+            assert Counter(x for k, x in got if k == anchors.WHOLE) == whole and Counter(x for k, x in got if k == anchors.EDGE) == edge
+
+
+def test_index_family(spark, make_docs):
+    """Levels shrink geometrically, and after each batch what the adds have told of is what repeats among all documents."""
+    r = random.Random(21)
+    texts = [t for t in copies(22, 30) if t] + [sentence(r, 50) for _ in range(3)]
+    r.shuffle(texts)
+    family, gone = suffix_dedup.IndexFamily(spark), {i: set() for i in range(len(texts))}
+    at = 0
+    for size in (12, 3, 3, 9, 6):
+        batch = range(at, min(at + size, len(texts)))
+        at += size
+        for x in family.add(make_docs([texts[i] for i in batch], list(batch))).collect():
+            gone[x["doc_id"]].update(range(max(x["low"], 0), min(x["high"], len(texts[x["doc_id"]].encode()))))
+        sizes = [n for _, n in family.levels]
+        assert all(x > 2 * y for x, y in zip(sizes, sizes[1:]))
+        want = without_strings({i: texts[i] for i in range(min(at, len(texts)))})
+        assert {i: len(gone[i]) for i in want} == {i: v[1] for i, v in want.items()}
+    assert len(family.levels) < 5
+
+
+def test_shared_and_missing_ids(spark, make_docs):
+    """Rows are told apart by their texts: each has what the plain version gives for distinct ids."""
+    r = random.Random(33)
+    passage, other = sentence(r, 60), sentence(r, 60)
+    texts = [passage + " " + sentence(r, 20), other, passage + " end", other + " x", sentence(r, 60), passage + " end", other, None, ""]
+    ids = [None, None, 7, 7, None, 7, 9, None, 7]
+    df = make_docs(texts, ids)
+    distinct = {}
+    for i, t in zip(ids, texts):
+        distinct.setdefault((i, t or ""), len(distinct))
+    want = without_strings({k: t for (_, t), k in distinct.items()})
+    got = sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.without_repeated_strings(df, spark).collect())
+    assert got == sorted((i or 0, *want[distinct[i, t or ""]]) for i, t in zip(ids, texts))
+    rows = substring_dedup.without_earlier_windows(df, spark, with_text=True).collect()
+    assert sorted((x["doc_id"] or 0, x["n_words"]) for x in rows) == sorted((i or 0, len((t or "").split())) for i, t in zip(ids, texts))
+    assert [x["n_removed"] for x in rows if x["doc_id"] is None and x["text"] == texts[4]] == [0]
+    assert [x["n_removed"] for x in rows if x["doc_id"] == 9] == [60]  # after all of them
+    # One of each passage's texts stays whole: that which comes first.
+    assert sum(passage in x["text"] for x in rows) in (1, 2) and sum(other in x["text"] for x in rows) == 1
 
 
 @pytest.mark.parametrize("shard", [1, 4, 1000])
