@@ -344,7 +344,7 @@ def training_pages(count: int, seed: int = 11) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def model(count: int = 360) -> trees.Trees:
+def model(count: int = 480) -> trees.Trees:
     """Trees fitted on generated pages: a node is positive if its subtree has main text."""
     pages = [Page(x, marks=True) for x in training_pages(count)]
     y = []
