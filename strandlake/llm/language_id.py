@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.automata import SuffixAutomaton
 from strandlake.llm.common import pieces, stored, table, text_buffer
 
 #: The sample of each language: labelled rows and characters at most, and from how many characters on a text is taken only for want of others.
@@ -51,55 +52,6 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.uint8), np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def suffix_automaton(text: list[int], stop: int) -> list[dict[int, int]]:
-    """Transitions of the automaton of all substrings of the parts of text between stop symbols; state 0 is the start."""
-    step, link, length = [{}], [-1], [0]
-    last = 0
-    for c in text:
-        if c == stop:
-            last = 0
-            continue
-        if c in step[last]:  # a generalised automaton: the substring is there already, perhaps in a state to split
-            q = step[last][c]
-            if length[q] == length[last] + 1:
-                last = q
-                continue
-            clone = len(step)
-            step.append(dict(step[q]))
-            link.append(link[q])
-            length.append(length[last] + 1)
-            link[q] = clone
-            p = last
-            while p != -1 and step[p].get(c) == q:
-                step[p][c] = clone
-                p = link[p]
-            last = clone
-            continue
-        new = len(step)
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p != -1 and c not in step[p]:
-            step[p][c] = new
-            p = link[p]
-        if p != -1:
-            q = step[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                clone = len(step)
-                step.append(dict(step[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p != -1 and step[p].get(c) == q:
-                    step[p][c] = clone
-                    p = link[p]
-                link[q] = link[new] = clone
-        last = new
-    return step
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -170,8 +122,10 @@ def build(samples: dict[str, np.ndarray]) -> Model:
     code[used] = np.arange(len(used))
     width, tables, starts = len(used) + 1, [], []
     for x in languages:
-        text = [int(code[s]) if s else -1 for s in samples[x]]
-        step = suffix_automaton(text, -1)
+        automaton, last = SuffixAutomaton(), 0
+        for s in samples[x].tolist():
+            last = automaton.add(last, int(code[s])) if s else 0
+        step = automaton.step
         at = sum(len(t) for t in tables)
         moves = np.full((len(step), width), -1, dtype=np.int64)
         for s, row in enumerate(step):

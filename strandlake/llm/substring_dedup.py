@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import anchors
+from strandlake.llm.automata import SuffixAutomaton
 from strandlake.llm.common import U64, chain_hash, mix, pieces, stored, table, windows_hash, words_of
 
 WINDOW, GRAM = 20, 5
@@ -102,8 +103,8 @@ def earlier_windows(segments: list[tuple[int, list[int]]], size: int) -> Iterato
 
     A generalised suffix automaton is built word by word; before a word joins, the longest suffix ending with it that occurs
     among all earlier words is found (it may overlap itself), and size words or more are a window that occurred earlier."""
-    step: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
+    known = SuffixAutomaton()
+    step, link, length = known.step, known.link, known.length
     for name, words in segments:
         last = state = matched = 0
         span_from = span_to = -1
@@ -122,39 +123,7 @@ def earlier_windows(segments: list[tuple[int, list[int]]], size: int) -> Iterato
                         yield name, span_from, span_to
                     span_from = i + 1 - size
                 span_to = i + 1
-            # The word joins.
-            there = step[last].get(c)
-            if there is not None and length[there] == length[last] + 1:
-                last = there
-            else:
-                if there is None:
-                    new = len(step)
-                    step.append({})
-                    length.append(length[last] + 1)
-                    link.append(0)
-                    p = last
-                    while p != -1 and c not in step[p]:
-                        step[p][c] = new
-                        p = link[p]
-                    q = step[p][c] if p != -1 else 0
-                else:
-                    p, q, new = last, there, -1
-                if p != -1 and length[q] == length[p] + 1:
-                    link[new] = q
-                elif p != -1:
-                    clone = len(step)
-                    step.append(dict(step[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p != -1 and step[p].get(c) == q:
-                        step[p][c] = clone
-                        p = link[p]
-                    link[q] = clone
-                    if new != -1:
-                        link[new] = clone
-                    else:
-                        new = clone
-                last = new
+            last = known.add(last, c)
             while state and matched <= length[link[state]]:  # a split state keeps only its longer strings
                 state = link[state]
         if span_to > 0:
