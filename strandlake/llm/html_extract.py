@@ -214,11 +214,14 @@ def features(pages: list[Page]) -> np.ndarray:
     siblings = np.bincount(parent, minlength=len(node))[parent]
     same = np.bincount(parent * (OTHER + 1) + group, minlength=len(node) * (OTHER + 1))[parent * (OTHER + 1) + group]
     one = np.maximum
+    # Whether an article or a main element is in the page, and in the subtree; forms and buttons in the subtree.
+    parts = [subtree((group == GROUP_OF[t]).astype(np.int64)) for t in ("article", "main", "form")]
+    parts = [parts[0][first][page] > 0, parts[1][first][page] > 0, parts[0] > 0, parts[1] > 0, np.log1p(parts[2])]
     up_group = [above(group == g) for g in (5, 6, 7, 8, 9, 10, 12, 4, 3)]
     columns = [
         *((group == g) for g in range(OTHER + 1)), depth, np.log1p(chars), np.log1p(words), links / one(chars, 1), stops / one(words, 1), words / one(blocks, 1), chars / kids, np.log1p(kids), np.log1p(blocks), np.log1p(paragraphs),
         chars / one(total, 1), chars / one(chars[parent], 1), offset / one(total, 1), place, place / one(siblings, 1), same / one(siblings, 1), np.log1p(siblings), noise, main, hidden, pure, above(noise), above(main), above(hidden), above(pure), *up_group,
-        *((group[parent] == g) for g in (1, 2, 4, 15, 16, 17)), noise[parent], main[parent], links[parent] / one(chars[parent], 1), np.log1p(chars[parent]), np.log1p(paragraphs[parent]), subtree((noise | hidden).astype(np.int64)) / kids,
+        *((group[parent] == g) for g in (1, 2, 4, 15, 16, 17)), noise[parent], main[parent], links[parent] / one(chars[parent], 1), np.log1p(chars[parent]), np.log1p(paragraphs[parent]), *parts, subtree((noise | hidden).astype(np.int64)) / kids,
     ]
     return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)
 
